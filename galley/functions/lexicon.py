@@ -4,8 +4,8 @@ from __future__ import annotations
 
 # Signs that a quoted line is a direction to the crew, not spoken text.
 DIRECTIVES = (
-    "🔴", "⚠️", "🔑", "🎙", "📐", "촬영", "금지", "말 것", "하지 마", "하지 말", "CTA", "주의",
-    "규칙", "확정", "개정", "삭제됨", "되살리지", "출처 표기", "시그니처", "클로징 시그",
+    "🔴|⚠️|🔑|🎙|📐|촬영|금지|말 것|하지 마|하지 말|CTA|주의"
+    "|규칙|확정|개정|삭제됨|되살리지|출처 표기|시그니처|클로징 시그"
 )
 
 # Headings that only mark a section of the running order.

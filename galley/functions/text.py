@@ -18,7 +18,7 @@ COPY_NOTATION = [
 ]
 
 # Marks left where a person still has to fill something in.
-SCREEN_PLACEHOLDER = r"__+%?|<[A-Z][A-Z0-9_]{2,}>|\bTODO\b|\bFIXME\b"
+SCREEN_PLACEHOLDER = r"__+%?|<[A-Z][A-Z0-9_]{2,}>|(?<!\w)(?:TODO|FIXME)(?!\w)"
 FORM_PLACEHOLDER = r"20\d\s*년\s+월|\(\s*우편\s*:\s+\)|년\s+월\s+일"
 
 # Digits and Korean number words.

@@ -12,32 +12,27 @@ from galley.operators import ordered
 from galley.schema import require
 
 
-def _is_spoken(line: Column) -> Column:
-    t = text.strip(line)
-    quote = text.strip(F.regexp_replace(t, r"^>+", ""))
-    directive = F.lit(False)
-    for mark in lexicon.DIRECTIVES:
-        directive = directive | quote.contains(mark)
+def _is_spoken(trimmed: Column) -> Column:
     return (
-        F.when(t == "", False)
-        .when(t.startswith(">"), (quote != "") & ~directive)
-        .when(t.startswith("#"), ~t.rlike(lexicon.SECTION_HEADING))
-        .when(t.startswith("|"), False)
-        .when(t.rlike(r"^-\s*\[[ x]\]"), False)
-        .when(t.rlike(r"^(---|\*\*\*)$"), False)
-        .otherwise(True)
+        F.when(trimmed == "", False)
+        .when(trimmed.startswith(">"), ~trimmed.rlike(rf"^>+\s*$|{lexicon.DIRECTIVES}"))
+        .when(trimmed.startswith("#"), ~trimmed.rlike(lexicon.SECTION_HEADING))
+        .when(trimmed.startswith("|"), False)
+        .otherwise(~trimmed.rlike(r"^-\s*\[[ x]\]|^(---|\*\*\*)$"))
     )
 
 
 def spoken_lines(lines: DataFrame) -> DataFrame:
     """Lines that are read aloud."""
     require(lines, "line")
-    return lines.filter(_is_spoken(F.col("line")))
+    # The array binds the trimmed line once for all tests on it.
+    return lines.filter(F.exists(F.array(text.strip(F.col("line"))), _is_spoken))
 
 
 def spoken_text(script: Column) -> Column:
     """The spoken lines of a script as one normalised text."""
-    return text.normalize_copy(F.array_join(F.filter(text.lines(script), _is_spoken), " "))
+    trimmed = F.transform(text.lines(script), text.strip)
+    return text.normalize_copy(F.array_join(F.filter(trimmed, _is_spoken), " "))
 
 
 def narration_sentences(script: Column, min_chars: int = 12) -> Column:

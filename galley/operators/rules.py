@@ -264,13 +264,14 @@ def candidate_limits(
     """(key, kind, value, line, confirmed): limits found in a call, none confirmed."""
     require(docs, key, body)
     per_line = docs.select(key, F.explode(text.lines(F.col(body))).alias("line"))
-    found = [
-        F.transform(
-            F.regexp_extract_all("line", F.lit(p), F.lit(1)),
-            lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value")),
+
+    def of_kind(kind: str, pattern: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all("line", F.lit(pattern), F.lit(1)),
+            lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value")),
         )
-        for k, p in (patterns or lexicon.LIMIT_PATTERNS).items()
-    ]
+
+    found = [of_kind(k, p) for k, p in (patterns or lexicon.LIMIT_PATTERNS).items()]
     return per_line.select(key, "line", F.explode(F.concat(*found)).alias("_f")).select(
         key, "_f.*", "line", F.lit(False).alias("confirmed")
     )

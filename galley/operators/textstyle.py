@@ -99,9 +99,10 @@ def style_metrics(
         listed = p.rlike(r"^\s*(?:[-*•]|\d+[.)])\s")
         return ~listed & F.exists(text.sentences(p), lambda s: _ending_of(s, endings).isNotNull())
 
-    top = F.array_max(
-        F.array(*[F.size(F.filter("_e", lambda e, x=x: e == x)) for x in endings])
-    )
+    def uses(ending: str) -> Column:
+        return F.size(F.filter("_e", lambda e: e == ending))
+
+    top = F.array_max(F.array(*[uses(ending) for ending in endings]))
 
     def korean(value: Column) -> Column:
         return F.when(F.col("_korean"), value)

@@ -24,9 +24,9 @@ def explode_lines(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def read_marked_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, line_no, line) of whole text files; the name is the document."""
+    """(doc, line_no, line) of whole text files; the path is the document."""
     docs = spark.read.text(path, wholetext=True).select(
-        text.basename(F.col("_metadata.file_path")).alias("doc"), "value"
+        F.col("_metadata.file_path").alias("doc"), "value"
     )
     return explode_lines(docs, "doc", "value")
 

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from workload import keyword_survey, prompt_log, work_log  # noqa: F401
+from workload import keyword_survey, prompt_log, text_checks, work_log  # noqa: F401
 from workload.registry import QUERIES, SQL  # noqa: F401
