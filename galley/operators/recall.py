@@ -39,7 +39,9 @@ def similar_top_k(vectors: DataFrame, query: Column, key: str, vector: str, k: i
     Each task keeps its own best k; only those travel.
     """
     require(vectors, key, vector)
-    scored = vectors.select(key, F.round(stats.cosine(F.col(vector), query), 6).alias("similarity"))
+    scored = vectors.select(key, vector, query.alias("_query")).select(
+        key, F.round(stats.cosine(F.col(vector), F.col("_query")), 6).alias("similarity")
+    )
     return scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), key).limit(k)
 
 

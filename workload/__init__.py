@@ -1,4 +1,12 @@
 """All registered queries."""
 
-from workload import keyword_survey, prompt_log, text_checks, work_log  # noqa: F401
+from workload import (  # noqa: F401
+    drift_forms,
+    keyword_survey,
+    prompt_log,
+    recall_routing,
+    streams,
+    text_checks,
+    work_log,
+)
 from workload.registry import QUERIES, SQL  # noqa: F401

@@ -21,7 +21,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("role").alias("type"),
         F.col("text").alias("content"),
         F.lit(True).alias("is_text"),
-        F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("ts"),
         F.lit(None).cast("string").alias("cwd"),
     )
 
