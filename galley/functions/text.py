@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,14 @@ PROSE_SYMBOLS = r"[→①-⑳]"
 HANGUL = r"[가-힣]"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once.
+
+    A Column used twice is computed twice, and inside a lambda once per element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")

@@ -64,57 +64,80 @@ def numeral_split(missing: DataFrame) -> DataFrame:
     )
 
 
-def _pieces(chars: Column, n: Column) -> Column:
-    """All runs of n characters, in order; none when the text is shorter."""
-    last = F.size(chars) - n + 1
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
+def longest_shared(left: Column, right: Column, min_len: int, max_len: int) -> Column:
+    """Struct (start, length, fragment) of the longest run in both texts, or NULL.
+
+    Starts whose shortest run is shared are found first; only they can begin a
+    longer one. If a run of n characters is shared then so is one of n - 1, so
+    the length is found by halving the range. The first run in the left text
+    wins; `start` counts from 1.
+    """
+    halvings = max(1, (max_len - min_len).bit_length())
+
+    def search(t: Column) -> Column:
+        size = F.length(t["l"])
+
+        def holds(i: Column, n: Column) -> Column:
+            return (i + n - 1 <= size) & t["r"].contains(t["l"].substr(i, n))
+
+        def narrow(starts: Column) -> Column:
+            def probe(state: Column, _: Column) -> Column:
+                middle = F.ceil((state["low"] + state["high"]) / 2).cast("int")
+                return text.bind(
+                    middle,
+                    lambda n: F.when(
+                        F.exists(starts, lambda i: holds(i, n)),
+                        F.struct(n.alias("low"), state["high"].alias("high")),
+                    ).otherwise(
+                        F.struct(
+                            state["low"].alias("low"),
+                            F.greatest(state["low"], n - 1).alias("high"),
+                        )
+                    ),
+                )
+
+            length = F.aggregate(
+                F.sequence(F.lit(1), F.lit(halvings)),
+                F.struct(F.lit(min_len).alias("low"), F.least(F.lit(max_len), size).alias("high")),
+                probe,
+                lambda s: s["low"],
+            )
+            return text.bind(
+                length,
+                lambda n: text.bind(
+                    F.filter(starts, lambda i: holds(i, n))[0],
+                    lambda i: F.struct(
+                        i.alias("start"), n.alias("length"), t["l"].substr(i, n).alias("fragment")
+                    ),
+                ),
+            )
+
+        first = F.filter(
+            F.sequence(F.lit(1), size - min_len + 1), lambda i: holds(i, F.lit(min_len))
+        )
+        return F.when(
+            (size >= min_len) & (F.length(t["r"]) >= min_len),
+            text.bind(first, lambda starts: F.when(F.size(starts) > 0, narrow(starts))),
+        )
+
+    return text.bind(F.struct(left.alias("l"), right.alias("r")), search)
 
 
 def shared_passages(
     pairs: DataFrame, key: Sequence[str], left: str, right: str, min_len: int = 12, max_len: int = 80
 ) -> DataFrame:
-    """(key, start, length, fragment): the longest run two texts of a pair share.
+    """(key, start, length, fragment): the longest run the two texts of a pair share.
 
     Both texts lie in the row of their pair, as a note and the screen it must not
-    appear on, so nothing is shuffled and no pairs are formed. If a run of n
-    characters is shared then so is one of n - 1: the length is found by halving
-    the range, and each probe compares two sets of runs. The first run in the
-    left text wins; `start` counts from 1.
+    appear on: nothing is shuffled and no pairs are formed.
     """
     require(pairs, *key, left, right)
-    texts = pairs.select(
-        *key, text.collapse(F.col(left)).alias("_l"), text.collapse(F.col(right)).alias("_r")
-    )
-    split = texts.filter((F.length("_l") >= min_len) & (F.length("_r") >= min_len)).select(
-        *key, "_l", F.split("_l", "").alias("_lc"), F.split("_r", "").alias("_rc")
-    )
-    shares = lambda n: F.arrays_overlap(_pieces(F.col("_lc"), n), _pieces(F.col("_rc"), n))
-    candidates = split.filter(shares(F.lit(min_len)))
-    low = F.lit(min_len)
-    high = F.least(F.lit(max_len), F.size("_lc"), F.size("_rc"))
-    halvings = max(1, (max_len - min_len).bit_length())
-
-    def probe(state: Column, _: Column) -> Column:
-        middle = F.ceil((state["low"] + state["high"]) / 2).cast("int")
-        hit = shares(middle)
-        return F.struct(
-            F.when(hit, middle).otherwise(state["low"]).alias("low"),
-            F.when(hit, state["high"]).otherwise(F.greatest(state["low"], middle - 1)).alias("high"),
-        )
-
-    longest = F.aggregate(
-        F.sequence(F.lit(1), F.lit(halvings)),
-        F.struct(low.alias("low"), high.alias("high")),
-        probe,
-        lambda s: s["low"],
+    longest = longest_shared(
+        text.collapse(F.col(left)), text.collapse(F.col(right)), min_len, max_len
     )
-    sized = candidates.withColumn("length", longest)
-    fragment = F.array_intersect(
-        _pieces(F.col("_lc"), F.col("length")), _pieces(F.col("_rc"), F.col("length"))
-    )[0]
-    return sized.select(*key, "_l", "length", fragment.alias("fragment")).select(
-        *key, F.expr("locate(fragment, _l)").alias("start"), "length", "fragment"
+    # Exploding keeps the search in one place; a filter would run it twice.
+    return pairs.select(*key, F.explode(F.array_compact(F.array(longest))).alias("_p")).select(
+        *key, "_p.*"
     )
 
 

@@ -210,12 +210,13 @@ def question_tags(
 ) -> DataFrame:
     """Adds markers, head and noise. Noise is labelled and kept."""
     require(questions, body)
-    words = text.tokens(F.col(body))
-    found = F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.lower(F.col(body)).contains(m))
+    low = F.lower(F.col(body))
+    found = F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: low.contains(m))
+    words = F.col("_words")
     head = F.filter(words, lambda w: w.isin(*heads)) if heads else F.array().cast("array<string>")
     is_noise = F.exists(words, lambda w: w.isin(*noise)) if noise else F.lit(False)
-    return questions.select(
-        "*",
+    return questions.withColumn("_words", text.tokens(F.col(body))).select(
+        *questions.columns,
         F.array_join(found, ",").alias("markers"),
         F.coalesce(F.try_element_at(head, F.lit(1)), F.lit("none")).alias("head"),
         is_noise.alias("noise"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions import text
 from galley.schema import require
 
 # The marks of the form format.
@@ -29,27 +30,39 @@ def _cells_of(xml: Column) -> Column:
     """
     pieces = F.split(xml, f"(?={CELL_OPEN})")
 
-    def of_piece(piece: Column) -> Column:
-        cols = F.regexp_extract_all(piece, F.lit(CELL_ADDRESS), F.lit(1))
-        rows = F.regexp_extract_all(piece, F.lit(CELL_ADDRESS), F.lit(2))
-        between = F.split(piece, CELL_ADDRESS)
-
-        def cell(col: Column, j: Column) -> Column:
-            content = F.array_join(F.slice(between, 1, j + 1), "<cut/>")
-            fragments = F.regexp_extract_all(content, F.lit(CELL_TEXT), F.lit(1))
-            before_gap = F.split(content, EMPTY_RUN, 2)[0]
-            is_empty = content.rlike(EMPTY_RUN)
-            return F.struct(
-                F.element_at(rows, j + 1).cast("int").alias("row"),
+    def of_content(content: Column, row: Column, col: Column) -> Column:
+        fragments = F.regexp_extract_all(content, F.lit(CELL_TEXT), F.lit(1))
+        is_empty = content.rlike(EMPTY_RUN)
+        before_gap = F.split(content, EMPTY_RUN, 2)[0]
+        return text.bind(
+            fragments,
+            lambda found: F.struct(
+                row.cast("int").alias("row"),
                 col.cast("int").alias("col"),
-                F.array_join(fragments, "").alias("text"),
+                F.array_join(found, "").alias("text"),
                 is_empty.alias("is_empty"),
-                fragments.alias("fragments"),
+                found.alias("fragments"),
                 F.when(is_empty, F.regexp_count(before_gap, F.lit(CELL_TEXT))).alias("empty_at"),
                 content.contains("<hp:run").alias("has_run"),
-            )
+            ),
+        )
 
-        return F.transform(cols, cell)
+    def of_piece(piece: Column) -> Column:
+        parts = F.struct(
+            F.regexp_extract_all(piece, F.lit(CELL_ADDRESS), F.lit(1)).alias("cols"),
+            F.regexp_extract_all(piece, F.lit(CELL_ADDRESS), F.lit(2)).alias("rows"),
+            F.split(piece, CELL_ADDRESS).alias("between"),
+        )
+        return text.bind(
+            parts,
+            lambda p: F.transform(
+                p["cols"],
+                lambda col, j: text.bind(
+                    F.array_join(F.slice(p["between"], 1, j + 1), "<cut/>"),
+                    lambda content: of_content(content, F.element_at(p["rows"], j + 1), col),
+                ),
+            ),
+        )
 
     return F.flatten(F.transform(pieces, of_piece))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galley.functions import text
 from galley.schema import require
 
 
@@ -12,18 +13,26 @@ def without_comments(html: Column) -> Column:
     return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
 
-def explode_html_elements(pages: DataFrame, key: str, html: str, tag: str) -> DataFrame:
-    """(key, pos, tag, attrs, inner) for each innermost-closed element of a tag."""
+def explode_html_elements(pages: DataFrame, key: str, html: str, *tags: str) -> DataFrame:
+    """(key, tag, pos, attrs, inner) for the elements of the tags, in one scan."""
     require(pages, key, html)
-    pattern = rf"(?is)<{tag}(\s[^>]*)?>(.*?)</{tag}>"
-    found = F.regexp_extract_all(without_comments(F.col(html)), F.lit(pattern), F.lit(0))
-    return pages.select(key, F.posexplode(found).alias("pos", "_whole")).select(
-        key,
-        "pos",
-        F.lit(tag).alias("tag"),
-        F.trim(F.regexp_extract("_whole", pattern, 1)).alias("attrs"),
-        F.regexp_extract("_whole", pattern, 2).alias("inner"),
+
+    def of_tag(page: Column, tag: str) -> Column:
+        pattern = rf"(?is)<{tag}(\s[^>]*)?>(.*?)</{tag}>"
+        return F.transform(
+            F.regexp_extract_all(page, F.lit(pattern), F.lit(0)),
+            lambda whole, pos: F.struct(
+                F.lit(tag).alias("tag"),
+                pos.alias("pos"),
+                F.trim(F.regexp_extract(whole, pattern, 1)).alias("attrs"),
+                F.regexp_extract(whole, pattern, 2).alias("inner"),
+            ),
+        )
+
+    found = text.bind(
+        without_comments(F.col(html)), lambda page: F.concat(*[of_tag(page, t) for t in tags])
     )
+    return pages.select(key, F.explode(found).alias("_e")).select(key, "_e.*")
 
 
 def attribute(attrs: Column, name: str) -> Column:

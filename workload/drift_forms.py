@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.functions import bands, text
@@ -244,7 +244,7 @@ def line_changes(spark, sf_dir):
 
 BOXES_SQL = """
 boxes AS (
-  SELECT l_orderkey AS deck, l_linenumber AS pos, 'e' || l_suppkey % 5 AS element,
+  SELECT l_orderkey AS deck, l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS pos, 'e' || l_suppkey % 5 AS element,
     l_quantity * 4 - 20.5 AS top, l_quantity * 16 + l_linenumber AS bottom,
     l_discount * 100 AS width, CASE WHEN l_discount = 0 THEN 0.0 ELSE 5.0 END AS height FROM lineitem)"""
 
@@ -252,7 +252,7 @@ boxes AS (
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("deck"),
-        F.col("l_linenumber").alias("pos"),
+        (F.col("l_linenumber") * 1_000_000_000_000 + F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("pos"),
         F.concat(F.lit("e"), F.col("l_suppkey") % 5).alias("element"),
         (F.col("l_quantity") * 4 - 20.5).alias("top"),
         (F.col("l_quantity") * 16 + F.col("l_linenumber")).alias("bottom"),
@@ -402,17 +402,23 @@ def prompter_cues(spark, sf_dir):
 # ---- forms ---------------------------------------------------------------
 
 
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
 def form_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a form: three cells per line, the last one sometimes empty."""
+    """Each order as a form: three cells per line, the last one sometimes empty.
+
+    A line number that an order has twice repeats its addresses, as a nested table does.
+    """
     line = F.col("l_linenumber").cast("string")
 
-    def cell(col: int, *runs) -> F.Column:
+    def cell(col: int, *runs) -> Column:
         return F.concat(
             F.lit('<hp:tc name=""><hp:subList><hp:p id="0">'), *runs,
             F.lit(f'</hp:p></hp:subList><hp:cellAddr colAddr="{col}" rowAddr="'), line, F.lit('"/></hp:tc>'),
         )
 
-    def run(value) -> F.Column:
+    def run(value) -> Column:
         return F.concat(F.lit('<hp:run charPrIDRef="1"><hp:t>'), value, F.lit("</hp:t></hp:run>"))
 
     last = F.when(F.col("l_discount") == 0, F.lit('<hp:run charPrIDRef="7"/>')).otherwise(run(F.col("l_linestatus")))
@@ -423,9 +429,9 @@ def form_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         cell(2, last),
         picture,
     )
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", row.alias("row"))
-    # an order has seven lines at most
-    gathered = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "row"))).alias("_r"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, row.alias("row"))
+    # the lines of one order, a handful
+    gathered = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "row"))).alias("_r"))
     return gathered.select(
         F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("section"),
         F.array_join(F.transform("_r", lambda r: r["row"]), "").alias("xml"),
@@ -435,7 +441,8 @@ def form_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS_SQL = """
 cells AS (
   SELECT l_orderkey AS doc_id, l_linenumber AS row, c AS col,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, c) - 1 AS idx,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, c) - 1 AS idx,
+    row_number() OVER (PARTITION BY l_orderkey, l_linenumber, c ORDER BY l_partkey, l_suppkey, l_extendedprice) - 1 AS occurrence,
     CASE c WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) WHEN 1 THEN l_returnflag || l_linestatus
       ELSE CASE WHEN l_discount = 0 THEN '' ELSE l_linestatus END END AS text,
     c = 2 AND l_discount = 0 AS is_empty, l_returnflag, l_linestatus
@@ -470,7 +477,7 @@ SELECT coalesce(c.doc_id, v.doc_id) AS doc_id, coalesce(c.row, v.row) AS row, co
     WHEN mode = 'append' THEN text || 'Q&amp;A' WHEN mode = 'prepend' THEN 'Q&amp;A' || text
     WHEN c.col = 1 THEN 'Q&amp;A' || l_linestatus ELSE 'Q&amp;A' END AS text,
   CASE WHEN c.doc_id IS NULL THEN 'error' WHEN mode IS NULL THEN 'untouched' ELSE 'filled' END AS status
-FROM cells c FULL JOIN v ON c.doc_id = v.doc_id AND c.row = v.row AND c.col = v.col"""
+FROM cells c FULL JOIN v ON c.doc_id = v.doc_id AND c.row = v.row AND c.col = v.col AND c.occurrence = 0"""
 
 
 @query("fill_cells", FILL_SQL)
@@ -526,15 +533,19 @@ def reconcile_verdict(spark, sf_dir):
 
 @query(
     "label_value_pairs",
-    """SELECT l_orderkey AS doc_id, l_linenumber AS col, l_returnflag AS label, coalesce((
-    SELECT min(n.l_linenumber) FROM lineitem n
-    WHERE n.l_orderkey = l.l_orderkey AND n.l_linenumber > l.l_linenumber AND n.l_discount < 0.03), -1) AS value_col
-FROM lineitem l WHERE l_discount >= 0.03""",
+    """WITH l AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey
+    ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS col FROM lineitem)
+SELECT l_orderkey AS doc_id, col, l_returnflag AS label, coalesce((
+    SELECT min(n.col) FROM l n
+    WHERE n.l_orderkey = l.l_orderkey AND n.col > l.col AND n.l_discount < 0.03), -1) AS value_col
+FROM l WHERE l_discount >= 0.03""",
 )
 def label_value_pairs(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
     cells = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("section"), F.lit(0).alias("row"),
-        F.col("l_linenumber").alias("col"), F.col("l_returnflag").alias("text"),
+        place.alias("col"), F.col("l_returnflag").alias("text"),
         (F.col("l_discount") < 0.03).alias("is_empty"),
     )
     return forms.label_value_pairs(cells).select("doc_id", "col", "label", "value_col")

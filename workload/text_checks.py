@@ -87,10 +87,7 @@ FROM e GROUP BY ALL""",
 )
 def html_elements(spark, sf_dir):
     pages = table(spark, sf_dir, "pages", "page_id", "html")
-    found = None
-    for tag in ("a", "li", "p"):
-        part = html.explode_html_elements(pages, "page_id", "html", tag)
-        found = part if found is None else found.unionByName(part)
+    found = html.explode_html_elements(pages, "page_id", "html", "a", "li", "p")
     return found.groupBy("page_id", "tag").agg(
         F.count(F.lit(1)).alias("elements"), F.sum(F.length("inner")).alias("characters")
     )
@@ -186,11 +183,8 @@ def normalize_copy(spark, sf_dir):
     return both.select("id", F.sha2(text.normalize_copy(F.col("text")), 256).alias("copy_sha"))
 
 
-# Line shapes given to the lines of a document in turn: (remainder, prefix, spoken).
-SHAPES = [
-    (0, "> 주의 ", False), (1, "> ", True), (2, "### ", True), (3, "## ", False),
-    (4, "| ", False), (5, "- [ ] ", False), (6, "- ", True), (7, "# 3~6분 ", False),
-]
+# Line shapes given to the lines of a document in turn; the last of nine is bare.
+SHAPES = ["> 주의 ", "> ", "### ", "## ", "| ", "- [ ] ", "- ", "# 3~6분 "]
 
 
 @query(
@@ -206,7 +200,7 @@ def spoken_lines(spark, sf_dir):
     """Lines of documents in the shapes of a script."""
     exploded = lines.explode_lines(documents(spark, sf_dir), "doc_id", "text")
     shaped = F.col("line")
-    for remainder, prefix, _ in SHAPES:
+    for remainder, prefix in enumerate(SHAPES):
         shaped = F.when(F.col("line_no") % 9 == remainder, F.concat(F.lit(prefix), "line")).otherwise(shaped)
     return drift.spoken_lines(exploded.withColumn("line", shaped)).select("doc_id", "line_no")
 
@@ -475,12 +469,10 @@ LEFT JOIN s ON s.page_id = a.page_id AND s.kind = k.kind""",
 def format_mix(spark, sf_dir):
     """Paragraphs are text, list items stand for tables, headings for images."""
     pages = table(spark, sf_dir, "pages", "page_id", "html")
-    blocks = None
-    for tag, kind in (("p", "text"), ("li", "table"), ("h1", "image")):
-        part = html.explode_html_elements(pages, "page_id", "html", tag).select(
-            "page_id", F.lit(kind).alias("kind"), F.length("inner").alias("chars")
-        )
-        blocks = part if blocks is None else blocks.unionByName(part)
+    kinds = F.create_map(*[F.lit(x) for x in ("p", "text", "li", "table", "h1", "image")])
+    blocks = html.explode_html_elements(pages, "page_id", "html", "p", "li", "h1").select(
+        "page_id", kinds[F.col("tag")].alias("kind"), F.length("inner").alias("chars")
+    )
     targets = {"text": 55.0, "table": 25.0, "image": 20.0}
     mix = textstyle.format_mix(blocks, "page_id", "kind", "chars", targets, tolerance=10.0)
     return mix.withColumn("share", F.round("share", 6))
