@@ -8,16 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as scripts of the content team count it.
-WHITE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+WHITE = (
+    "\t\n\x0b\x0c\r \u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 # Notation that differs between a manuscript and its spoken copy.
-COPY_NOTATION = [
-    (r"\[출처[^\]]*\]", " "),
-    (r"`[^`]*`", " "),
-    (r"[*_~]", ""),
-    (r"""[「」『』«»“”‘’"'`]""", ""),
-    (r"[.,!?·—–\-…]", " "),
-]
+SOURCE_TAG = r"\[출처[^\]]*\]"
+CODE_SPAN = r"`[^`]*`"
+EMPHASIS = "*_~"
+QUOTES = "「」『』«»“”‘’\"'`"
+PUNCTUATION = ".,!?·—–-…"
+
+# What may follow the last word of a sentence.
+CLOSING = ".!?…\"'”’)]"
 
 # Marks left where a person still has to fill something in.
 SCREEN_PLACEHOLDER = r"__+%?|<[A-Z][A-Z0-9_]{2,}>|(?<!\w)(?:TODO|FIXME)(?!\w)"
@@ -29,8 +34,10 @@ NUMBER_WORDS = (
     "|스물|서른|마흔|쉰|예순|일흔|여든|아흔"
 )
 
-EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+# The look-behind keeps the search from starting inside a word.
+EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
 PHONE = r"\+?\d{1,3}[ \-]\d{2,4}[ \-]\d{3,4}(?:[ \-]\d{2,4})?"
+PRIVATE = {"email": EMAIL, "phone": PHONE}
 
 # Symbols a plain-prose text should not carry.
 PROSE_SYMBOLS = r"[→①-⑳]"
@@ -47,17 +54,23 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, rf"^{WHITE}+|{WHITE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
+
+
+def _blanked(c: Column, blank: str, drop: str = "") -> Column:
+    """Characters to blanks or to nothing, runs of blanks to one, none at the ends."""
+    single = F.translate(c, blank + drop, " " * len(blank))
+    return F.trim(F.regexp_replace(single, " {2,}", " "))
 
 
 def collapse(c: Column) -> Column:
     """One blank for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(c, rf"{WHITE}+", " "))
+    return _blanked(c, WHITE)
 
 
 def squeeze(c: Column) -> Column:
     """The text without any white space."""
-    return F.regexp_replace(c, rf"{WHITE}+", "")
+    return F.translate(c, WHITE, "")
 
 
 def utf16_length(c: Column) -> Column:
@@ -72,9 +85,13 @@ def preview(c: Column, n: int = 80) -> Column:
 
 def normalize_copy(c: Column) -> Column:
     """Drop differences of notation and keep differences of wording."""
-    for pattern, replacement in COPY_NOTATION:
-        c = F.regexp_replace(c, pattern, replacement)
-    return collapse(c)
+
+    def without(t: Column, sign: str, pattern: str) -> Column:
+        return F.when(t.contains(sign), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    untagged = bind(c, lambda t: without(t, "[", SOURCE_TAG))
+    words = bind(untagged, lambda t: without(t, "`", CODE_SPAN))
+    return _blanked(words, WHITE + PUNCTUATION, EMPHASIS + QUOTES)
 
 
 def has_number(c: Column) -> Column:
@@ -124,8 +141,8 @@ def hangul_share(c: Column) -> Column:
 
 
 def mask(c: Column, patterns: dict[str, str] | None = None) -> Column:
-    """Hide only the matched span, keeping its length visible as a tag."""
-    for kind, pattern in (patterns or {"email": EMAIL, "phone": PHONE}).items():
+    """Put the kind in place of each matched span, and nothing else."""
+    for kind, pattern in (patterns or PRIVATE).items():
         c = F.regexp_replace(c, pattern, f"[{kind}]")
     return c
 
@@ -162,15 +179,18 @@ def minutes_text(seconds: Column) -> Column:
     return F.format_string("%dm %.1fs", whole, (seconds - whole * 60).cast("double"))
 
 
-def annotation(c: Column) -> Column:
-    """A label written as text@x,y with an optional ! for the accent colour."""
-    pattern = r"^(.*?)@(-?\d+(?:\.\d+)?),(-?\d+(?:\.\d+)?)(!?)$"
+# Fixed value: a quote placed on a picture, as [!]text@x,y in percent.
+PLACED_QUOTE = r"^(!?)(.*)@(\d+),(\d+)$"
+
+
+def placed_quote(c: Column) -> Column:
+    """Struct (text, x, y, accent) of a placed quote, NULL when it is none."""
     return F.when(
-        c.rlike(pattern),
+        c.rlike(PLACED_QUOTE),
         F.struct(
-            F.regexp_extract(c, pattern, 1).alias("text"),
-            F.regexp_extract(c, pattern, 2).cast("double").alias("x"),
-            F.regexp_extract(c, pattern, 3).cast("double").alias("y"),
-            (F.regexp_extract(c, pattern, 4) == "!").alias("accent"),
+            F.regexp_extract(c, PLACED_QUOTE, 2).alias("text"),
+            F.regexp_extract(c, PLACED_QUOTE, 3).cast("int").alias("x"),
+            F.regexp_extract(c, PLACED_QUOTE, 4).cast("int").alias("y"),
+            (F.regexp_extract(c, PLACED_QUOTE, 1) == "!").alias("accent"),
         ),
     )

@@ -145,7 +145,7 @@ def sensitive_scan(
 ) -> DataFrame:
     """(key, kinds, masked): which private data a text shows, and the text without it."""
     require(docs, key, body)
-    kinds = dict(patterns or {"email": text.EMAIL, "phone": text.PHONE})
+    kinds = dict(patterns or text.PRIVATE)
     found = [F.when(F.col(body).rlike(p), k) for k, p in kinds.items()]
     return docs.select(
         key,
@@ -195,9 +195,9 @@ def copy_line_lengths(
     plans: DataFrame, key: str, kind: str, body: str,
     bounds: Mapping[str, tuple[int, int]] = lexicon.COPY_LENGTHS,
 ) -> DataFrame:
-    """Each line of a copy on its own; lines end at a bar or a line break."""
+    """Each line of a copy on its own; lines end at a bar, a line break or a written \\n."""
     require(plans, key, kind, body)
-    rows = F.filter(F.transform(F.split(body, r"[|\n]"), text.strip), lambda r: r != "")
+    rows = F.filter(F.transform(F.split(body, r"\||\\n|\n"), text.strip), lambda r: r != "")
     exploded = plans.select(key, kind, F.posexplode(rows).alias("pos", "line"))
     return length_bounds(exploded.withColumn("_id", F.struct(key, "pos")), "_id", kind, "line", bounds).select(
         F.col(f"_id.{key}").alias(key), F.col("_id.pos").alias("pos"), kind, "chars", "status"

@@ -58,11 +58,15 @@ def body_scope(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def _ending_of(sentence: Column, endings: Sequence[str]) -> Column:
-    bare = F.regexp_replace(sentence, r"""[.!?…"'”’)\]\s]+$""", "")
-    found = F.lit(None).cast("string")
-    for ending in endings:
-        found = F.when(bare.endswith(ending), ending).otherwise(found)
-    return found
+    """The listed ending a sentence closes with, or NULL."""
+
+    def of_bare(bare: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for ending in endings:
+            found = F.when(bare.endswith(ending), ending).otherwise(found)
+        return found
+
+    return text.bind(F.rtrim(sentence, F.lit(text.CLOSING + text.WHITE)), of_bare)
 
 
 def style_metrics(
@@ -81,23 +85,29 @@ def style_metrics(
     The four axes built on endings are NULL when the text is not Korean enough.
     """
     require(docs, key, body)
+
+    def read(paragraph: Column) -> Column:
+        """Whether a paragraph is a list, and the ending of each of its sentences."""
+        return F.struct(
+            paragraph.rlike(r"^\s*(?:[-*•]|\d+[.)])\s").alias("listed"),
+            F.transform(text.sentences(paragraph), lambda s: _ending_of(s, endings)).alias("ends"),
+        )
+
+    hangul = F.coalesce(text.hangul_share(F.col("_t")), F.lit(0.0))
+    # A sentence never crosses a blank line, so one pass serves both units.
     base = docs.select(key, *keep, F.col(body).alias("_t")).select(
         key,
         *keep,
         "_t",
-        text.sentences(F.col("_t")).alias("_s"),
-        text.paragraphs(F.col("_t")).alias("_p"),
-        (F.coalesce(text.hangul_share(F.col("_t")), F.lit(0.0)) >= min_hangul).alias("_korean"),
-    )
-    base = base.withColumn(
-        "_e", F.array_compact(F.transform("_s", lambda s: _ending_of(s, endings)))
+        F.transform(text.paragraphs(F.col("_t")), read).alias("_p"),
+        (hangul >= min_hangul).alias("_korean"),
     )
+    base = base.withColumn("_all", F.flatten("_p.ends")).withColumn("_e", F.array_compact("_all"))
     chars = F.length("_t")
-    n_end = F.size("_e")
-
-    def is_narrative(p: Column) -> Column:
-        listed = p.rlike(r"^\s*(?:[-*•]|\d+[.)])\s")
-        return ~listed & F.exists(text.sentences(p), lambda s: _ending_of(s, endings).isNotNull())
+    n_sent, n_end = F.size("_all"), F.size("_e")
+    narrative = F.filter(
+        "_p", lambda p: ~p["listed"] & F.exists(p["ends"], lambda e: e.isNotNull())
+    )
 
     def uses(ending: str) -> Column:
         return F.size(F.filter("_e", lambda e: e == ending))
@@ -115,11 +125,11 @@ def style_metrics(
         key,
         *keep,
         chars.alias("body_chars"),
-        F.size("_s").alias("sentence_count"),
+        n_sent.alias("sentence_count"),
         F.regexp_count("_t", F.lit(text.PROSE_SYMBOLS)).cast("double").alias("symbols"),
         text.digits_per_100(F.col("_t")).alias("digits_per_100"),
-        korean(percent(n_end, F.size("_s"))).alias("ending_ratio"),
-        korean(percent(F.size(F.filter("_p", is_narrative)), F.size("_p"))).alias("narrative_ratio"),
+        korean(percent(n_end, n_sent)).alias("ending_ratio"),
+        korean(percent(F.size(narrative), F.size("_p"))).alias("narrative_ratio"),
         korean(F.size(F.array_distinct("_e")).cast("double")).alias("ending_variety"),
         korean(percent(top, n_end)).alias("top_ending_share"),
         F.when(chars > 0, cliche_count * 1000.0 / chars).alias("cliche_per_1000"),

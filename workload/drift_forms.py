@@ -13,11 +13,11 @@ from galley.session import scratch_path
 from galley.sources import forms as form_source
 from galley.sources import html, lines, sinks
 from workload import sqltext as Q
-from workload.registry import query, table
+from workload.registry import query, table, texts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text")
+    return texts(spark, sf_dir, "documents", "doc_id", "text")
 
 
 # ---- copy drift ---------------------------------------------------------------
@@ -116,7 +116,7 @@ def shared_passages(spark, sf_dir):
     """The heading of a page as the note, the rest of the page as the screen."""
     markup = F.col("html")
     rest = F.regexp_replace(markup, r"(?is)<head>.*?</head>|<h1[^>]*>.*?</h1>|<!--.*?-->", " ")
-    pairs = table(spark, sf_dir, "pages", "page_id", "html").select(
+    pairs = texts(spark, sf_dir, "pages", "page_id", "html").select(
         "page_id",
         F.regexp_extract(markup, r"(?is)<h1[^>]*>(.*?)</h1>", 1).alias("note"),
         F.regexp_replace(rest, "<[^>]*>", " ").alias("screen"),
@@ -149,7 +149,7 @@ WHERE NOT regexp_matches(ref, '(?i)^https?:') AND substr(ref, 2, 2) NOT IN (SELE
 )
 def broken_refs(spark, sf_dir):
     """Links by the first two letters of their path against the sections that exist."""
-    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    pages = texts(spark, sf_dir, "pages", "page_id", "url", "html")
     links = html.explode_html_elements(pages, "page_id", "html", "a")
     refs = links.select("page_id", html.attribute(F.col("attrs"), "href").alias("full"))
     refs = refs.withColumn("ref", F.when(text.is_absolute_url(F.col("full")), F.col("full")).otherwise(F.substring("full", 2, 2)))

@@ -10,7 +10,7 @@ from galley.operators import prompts
 from galley.plans import prompt_load
 from galley.session import scratch_path
 from galley.sources import sinks, transcripts
-from workload.registry import query, table
+from workload.registry import query, table, texts
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ SELECT doc_id, substr(regexp_replace(text, '\\n+', ' ', 'g'), 1, 80) AS preview
 """,
 )
 def preview(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 

@@ -10,7 +10,7 @@ from galley.operators import prefs, recall, routing, rules
 from galley.session import scratch_path
 from galley.sources import sinks
 from workload import sqltext as Q
-from workload.registry import query, table
+from workload.registry import query, table, texts
 
 
 def benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ routed AS (
 
 @query("map_objects", f"WITH {MAPPED_SQL} SELECT * FROM routed")
 def map_objects(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     return recall.map_objects(docs, objects(spark, sf_dir), "doc_id", "text")
 
 
@@ -55,7 +55,7 @@ UNION ALL SELECT 'relation', count(*) FROM hits""",
 )
 def fan_out(spark, sf_dir):
     """Documents to a record, a search and a relation store, each read back."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     names = objects(spark, sf_dir)
     record, search, relation = (scratch_path(spark, n) for n in ("record", "search", "relation"))
 
@@ -90,7 +90,7 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {DICTIONARY_SQL} SELECT doc_id, kind, count(*) AS words FROM words JOIN dict USING (token) GROUP BY ALL",
 )
 def dictionary_match(spark, sf_dir):
-    words = recall.doc_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    words = recall.doc_tokens(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     hits = recall.dictionary_match(words, dictionary(spark, sf_dir))
     return hits.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("words"))
 
@@ -103,7 +103,7 @@ SELECT doc_id, count(*) FILTER (token IN (SELECT token FROM dict)) AS inside,
 )
 def dictionary_sides(spark, sf_dir):
     """The semi and the anti form together: every word is on one side."""
-    words = recall.doc_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    words = recall.doc_tokens(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
     known = dictionary(spark, sf_dir)
     both = recall.inside_dictionary(words, known).withColumn("side", F.lit("in")).unionByName(
         recall.outside_dictionary(words, known).withColumn("side", F.lit("out"))
@@ -156,7 +156,7 @@ b AS (SELECT doc_id, 'keyword' AS source FROM k UNION ALL SELECT vec_id, 'vector
 SELECT doc_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS hits FROM b GROUP BY 1""",
 )
 def recall_union(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text")
     by_word = recall.keyword_hits(docs, "doc_id", "text", ["the th", "der e"])
     by_vector = nearest(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
     return recall.recall_union(by_word, by_vector, "doc_id")
@@ -168,7 +168,7 @@ def recall_union(spark, sf_dir):
   WHEN regexp_matches(text, 'tion') THEN 'judgment' ELSE 'knowledge' END AS category FROM documents""",
 )
 def with_category(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn(
+    docs = texts(spark, sf_dir, "documents", "doc_id", "text").withColumn(
         "category", F.when(F.col("doc_id") % 10 == 0, "judgment")
     )
     return routing.with_category(docs, {"object": r"\d{3}", "judgment": "tion"}).select("doc_id", "category")
@@ -250,7 +250,7 @@ SELECT axis, wins, n, round(wins / n, 6) AS rate, round(p, 6) AS p,
 )
 def preference_test(spark, sf_dir):
     """Labelled neighbours are pairs; the better label wins."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "n_chars", "lang", "source")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "n_chars", "lang", "source")
     scored = table(spark, sf_dir, "labels").join(docs, "doc_id")
     left = scored.select(F.col("doc_id").alias("left_id"), F.col("quality").alias("_l"))
     right = scored.select(

@@ -11,11 +11,11 @@ from galley.plans import style_gate
 from galley.session import scratch_path
 from galley.sources import html, lines
 from workload import sqltext as Q
-from workload.registry import query, table
+from workload.registry import query, table, texts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text")
+    return texts(spark, sf_dir, "documents", "doc_id", "text")
 
 
 @query(
@@ -86,7 +86,7 @@ SELECT page_id, tag, count(*) AS elements,
 FROM e GROUP BY ALL""",
 )
 def html_elements(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    pages = texts(spark, sf_dir, "pages", "page_id", "html")
     found = html.explode_html_elements(pages, "page_id", "html", "a", "li", "p")
     return found.groupBy("page_id", "tag").agg(
         F.count(F.lit(1)).alias("elements"), F.sum(F.length("inner")).alias("characters")
@@ -111,12 +111,15 @@ def placeholder_scan(spark, sf_dir):
     return rules.placeholder_scan(docs, "doc_id", "text")
 
 
+EMAIL_SQL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+
+
 @query(
     "sensitive_scan",
     rf"""WITH m AS (
-  SELECT doc_id, text, regexp_replace(regexp_replace(text, '{text.EMAIL}', '[email]', 'g'),
+  SELECT doc_id, text, regexp_replace(regexp_replace(text, '{EMAIL_SQL}', '[email]', 'g'),
     '{text.PHONE}', '[phone]', 'g') AS masked FROM documents)
-SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '{text.EMAIL}') THEN 'email' END,
+SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '{EMAIL_SQL}') THEN 'email' END,
   CASE WHEN regexp_matches(text, '{text.PHONE}') THEN 'phone' END) AS kinds,
   sha256(masked) AS masked_sha FROM m""",
 )
@@ -149,7 +152,7 @@ SELECT doc_id, lang, chars, CASE WHEN lang = 'en' THEN CASE WHEN chars < 200 THE
   ELSE 'no_rule' END AS status FROM l""",
 )
 def length_bounds(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
     bounds = {"en": (200, 2000), "fr": (500, None), "de": (100, 900)}
     return rules.length_bounds(docs, "doc_id", "lang", "text", bounds, count_spaces=False)
 
@@ -157,7 +160,7 @@ def length_bounds(spark, sf_dir):
 @query(
     "copy_line_lengths",
     rf"""WITH l AS (
-  SELECT item_id, list_filter(list_transform(string_split_regex(text, '[|\n]'), lambda r: {Q.strip('r')}),
+  SELECT item_id, list_filter(list_transform(string_split_regex(text, '\||\\n|\n'), lambda r: {Q.strip('r')}),
     lambda r: r <> '') AS rows FROM benchmark),
 e AS (SELECT item_id, unnest(range(0, len(rows))) AS pos, length(unnest(rows)) AS chars FROM l)
 SELECT item_id, pos, CASE WHEN item_id % 2 = 0 THEN 'main' ELSE 'sub' END AS kind, chars,
@@ -427,7 +430,7 @@ FROM s WHERE length(sentence) >= 20 GROUP BY source, sentence HAVING count(DISTI
 )
 def cross_section_repeats(spark, sf_dir):
     """A source is a document and its documents are the sections."""
-    docs = table(spark, sf_dir, "documents", "source", "doc_id", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "source", "text")
     found = textstyle.cross_section_repeats(docs, "source", "doc_id", "text", 20)
     return found.select("source", F.sha2("sentence", 256).alias("sentence_sha"), "sections", "copies")
 
@@ -445,7 +448,7 @@ r AS (
 SELECT lang, rank, token, n, score FROM r WHERE rank <= 5""",
 )
 def signature_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "lang", "text")
+    docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
     return textstyle.signature_terms(docs, "lang", "text", min_count=20, k=5)
 
 
@@ -468,7 +471,7 @@ LEFT JOIN s ON s.page_id = a.page_id AND s.kind = k.kind""",
 )
 def format_mix(spark, sf_dir):
     """Paragraphs are text, list items stand for tables, headings for images."""
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    pages = texts(spark, sf_dir, "pages", "page_id", "html")
     kinds = F.create_map(*[F.lit(x) for x in ("p", "text", "li", "table", "h1", "image")])
     blocks = html.explode_html_elements(pages, "page_id", "html", "p", "li", "h1").select(
         "page_id", kinds[F.col("tag")].alias("kind"), F.length("inner").alias("chars")
