@@ -14,6 +14,7 @@ def log_gamma(x: Column) -> Column:
     series = (
         (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi)
         + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5))
+        - 1 / (1680 * F.pow(z, 7)) + 1 / (1188 * F.pow(z, 9))
     )
     for i in range(8):
         series = series - F.log(x + i)

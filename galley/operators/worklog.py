@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions import text
@@ -267,30 +267,51 @@ def task_focus(tasks: DataFrame, board: str) -> DataFrame:
     )
 
 
-def activity_sessions(activity: DataFrame, by: str, gap: str = "30 minutes") -> DataFrame:
-    """(by, started, ended, prompts): activity cut where it pauses longer than the gap."""
-    require(activity, by, "ts")
+def _sessions(activity: DataFrame, by: str, gap_seconds: int, **counts: Column) -> DataFrame:
+    """Sessions of (by, ts) with extra counts, cut where the pause reaches the gap.
+
+    Rows in one slot of the length of the gap are never further apart than the
+    gap, so each slot is summed to one row in the map tasks. What is put in
+    order afterwards is one row per key and slot, however busy the key is.
+    """
+    gap = gap_seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    slots = activity.groupBy(by, F.floor(at / gap).alias("_slot")).agg(
+        F.min(at).alias("_from"), F.max(at).alias("_to"), *[c.alias(n) for n, c in counts.items()]
+    )
+    order = Window.partitionBy(by).orderBy("_slot")
+    pause = F.col("_from") - F.lag("_to").over(order)
+    starts = slots.withColumn("_new", F.when(pause < gap, 0).otherwise(1))
     return (
-        activity.groupBy(by, F.session_window("ts", gap).alias("_w"))
-        .agg(F.count(F.lit(1)).alias("prompts"), F.max("ts").alias("ended"))
-        .select(by, F.col("_w.start").alias("started"), "ended", "prompts")
+        starts.withColumn("_s", F.sum("_new").over(order))
+        .groupBy(by, "_s")
+        .agg(
+            F.timestamp_micros(F.min("_from")).alias("started"),
+            F.timestamp_micros(F.max("_to")).alias("ended"),
+            *[F.sum(n).alias(n) for n in counts],
+        )
+        .drop("_s")
     )
 
 
-def interrupted_sessions(activity: DataFrame, saves: DataFrame, by: str, gap: str = "30 minutes") -> DataFrame:
+def activity_sessions(activity: DataFrame, by: str, gap_seconds: int = 1_800) -> DataFrame:
+    """(by, started, ended, prompts): activity cut where it pauses for the gap."""
+    require(activity, by, "ts")
+    return _sessions(activity, by, gap_seconds, prompts=F.count(F.lit(1)))
+
+
+def interrupted_sessions(activity: DataFrame, saves: DataFrame, by: str, gap_seconds: int = 1_800) -> DataFrame:
     """Sessions with prompts and no save inside them.
 
-    Saves are put through the same windows as activity: a save belongs to the
+    Saves are put in the same sessions as activity: a save belongs to the
     session it extends, so no range join is needed.
     """
     require(activity, by, "ts")
     require(saves, by, "ts")
-    both = activity.select(by, "ts", F.lit(1).alias("_p")).unionByName(
-        saves.select(by, "ts", F.lit(0).alias("_p"))
+    both = activity.select(by, "ts", F.lit(True).alias("_p")).unionByName(
+        saves.select(by, "ts", F.lit(False).alias("_p"))
     )
-    return (
-        both.groupBy(by, F.session_window("ts", gap).alias("_w"))
-        .agg(F.sum("_p").alias("prompts"), F.count_if(F.col("_p") == 0).alias("_saves"), F.max("ts").alias("ended"))
-        .filter((F.col("prompts") > 0) & (F.col("_saves") == 0))
-        .select(by, F.col("_w.start").alias("started"), "ended", "prompts")
+    found = _sessions(
+        both, by, gap_seconds, prompts=F.count_if(F.col("_p")), _saves=F.count_if(~F.col("_p"))
     )
+    return found.filter((F.col("prompts") > 0) & (F.col("_saves") == 0)).drop("_saves")

@@ -16,6 +16,8 @@ DEFAULTS = {
     # A skewed join side is split even when the split costs one more shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # Sessions of one key are merged in each map task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
@@ -33,6 +35,13 @@ def build_session(
     return builder.getOrCreate()
 
 
+def apply_defaults(spark: SparkSession) -> SparkSession:
+    """Put the defaults on a session somebody else built."""
+    for key, value in DEFAULTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it.
 

@@ -337,7 +337,7 @@ FROM numbered GROUP BY user_id, s""",
 )
 def activity_sessions(spark, sf_dir):
     activity = table(spark, sf_dir, "events", "user_id", "ts")
-    return seconds(worklog.activity_sessions(activity, "user_id", "6 hours"))
+    return seconds(worklog.activity_sessions(activity, "user_id", 6 * 3600))
 
 
 @query(
@@ -352,7 +352,7 @@ def interrupted_sessions(spark, sf_dir):
     events = table(spark, sf_dir, "events", "user_id", "ts", "event_type")
     activity = events.filter(F.col("event_type").isin("view", "click"))
     saves = events.filter(F.col("event_type") == "purchase")
-    return seconds(worklog.interrupted_sessions(activity, saves, "user_id", "6 hours"))
+    return seconds(worklog.interrupted_sessions(activity, saves, "user_id", 6 * 3600))
 
 
 def seconds(df: DataFrame) -> DataFrame:
