@@ -57,6 +57,10 @@ PAGE_LENGTHS = {
     "이미지 중심 페이지": (200, 400),
 }
 
+# Characters and pages of a whole plan.
+PLAN_CHARS = (22_000, 35_000)
+PLAN_PAGES = (18, 40)
+
 # Characters per line of thumbnail copy.
 COPY_LENGTHS = {"main": (9, 13), "sub": (14, 22)}
 

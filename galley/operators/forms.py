@@ -127,6 +127,15 @@ def form_rollup(cells: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     return counts.join(rolled, ["doc_id", "section"], "left").fillna(0, ["cells", "empties"])
 
 
+def document_rollup(sections: DataFrame) -> DataFrame:
+    """Section counts summed to documents."""
+    counts = ("cells", "empties", "paragraphs", "pictures")
+    require(sections, "doc_id", "section", *counts)
+    return sections.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("sections"), *[F.sum(c).alias(c) for c in counts]
+    )
+
+
 def style_usage(runs: DataFrame, styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, runs, height, color, spacing, italic, bold), unused styles too."""
     require(runs, "doc_id", "style_id")

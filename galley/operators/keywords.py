@@ -168,6 +168,25 @@ def demand_axes(
     return joined.withColumn("one_hit", F.coalesce(ratio >= one_hit, F.lit(False)))
 
 
+def audience_label(videos: DataFrame, labels: DataFrame) -> DataFrame:
+    """(keyword, audience, share): whom the channels in a place speak to.
+
+    The label most videos carry; a channel without a label counts as unknown.
+    """
+    require(videos, "keyword", "channel")
+    require(labels, "channel", "audience")
+    per_channel = videos.groupBy("keyword", "channel").agg(F.count(F.lit(1)).alias("_n"))
+    per_label = (
+        per_channel.join(labels.select("channel", "audience"), "channel", "left")
+        .groupBy("keyword", F.coalesce("audience", F.lit("unknown")).alias("audience"))
+        .agg(F.sum("_n").alias("_n"))
+    )
+    most = F.max_by("audience", F.struct("_n", "audience"))
+    return per_label.groupBy("keyword").agg(
+        most.alias("audience"), (F.max("_n") / F.sum("_n")).alias("share")
+    )
+
+
 def volatile_metrics(observations: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """(by, measured, low, high, volatile): a changing value must not be quoted as a number."""
     require(observations, *by, value)

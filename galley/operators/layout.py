@@ -97,6 +97,22 @@ def page_expectation(rollup: DataFrame, expected: DataFrame, doc: str) -> DataFr
     return rollup.join(expected.select(doc, "expected_pages"), doc, "full_outer").withColumn("status", status)
 
 
+def image_sizes(images: DataFrame, doc: str) -> DataFrame:
+    """Adds width, height and place of each image in mm, from points."""
+    require(images, doc, "page", "x", "y", "w", "h")
+    return images.select(
+        doc, "page", *[bands.points_to_mm(F.col(c)).alias(f"{c}_mm") for c in ("w", "h", "x", "y")]
+    )
+
+
+def height_fit(blocks: DataFrame, page: Sequence[str], available_mm: float) -> DataFrame:
+    """(page, required_mm, spare_mm, fits): blocks of a page against its free height."""
+    require(blocks, *page, "height_mm")
+    needed = blocks.groupBy(*page).agg(F.sum("height_mm").alias("required_mm"))
+    spare = F.lit(available_mm) - F.col("required_mm")
+    return needed.withColumn("spare_mm", spare).withColumn("fits", F.col("spare_mm") >= 0)
+
+
 # Minutes of the four segments and what each may hold.
 SEGMENTS = (
     ("hook", 0.0, 1.0, False),

@@ -140,6 +140,19 @@ def placeholder_scan(
     )
 
 
+def blank_fields(records: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """(key, blanks): cover fields that are NULL, empty or still the <...> of the form."""
+    require(records, key, *fields)
+
+    def blank(name: str) -> Column:
+        value = text.strip(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        return F.when((value == "") | value.rlike(r"^<.*>$"), name)
+
+    return records.select(
+        key, F.array_join(F.array_compact(F.array(*[blank(f) for f in fields])), ",").alias("blanks")
+    )
+
+
 def sensitive_scan(
     docs: DataFrame, key: str, body: str, patterns: Mapping[str, str] | None = None
 ) -> DataFrame:

@@ -198,6 +198,49 @@ def cross_section_repeats(sections: DataFrame, key: str, section: str, body: str
     )
 
 
+def table_repeats(docs: DataFrame, key: str, body: str, min_chars: int = 10) -> DataFrame:
+    """(key, cell): table cells that the prose of the same document says again."""
+    require(docs, key, body)
+
+    def repeated(rows: Column) -> Column:
+        cells = F.flatten(
+            F.transform(
+                F.filter(rows, lambda r: r.startswith("|")),
+                lambda r: F.transform(F.split(r, r"\|"), text.strip),
+            )
+        )
+        prose = F.array_join(F.filter(rows, lambda r: ~r.startswith("|")), "\n")
+        return text.bind(
+            prose,
+            lambda p: F.filter(
+                F.array_distinct(cells), lambda c: (F.length(c) >= min_chars) & p.contains(c)
+            ),
+        )
+
+    found = text.bind(F.transform(text.lines(F.col(body)), text.strip), repeated)
+    return docs.select(key, F.explode(found).alias("cell"))
+
+
+def volume_bounds(
+    docs: DataFrame, key: str, chars: str, pages: str,
+    char_range: tuple[int, int] = lexicon.PLAN_CHARS, page_range: tuple[int, int] = lexicon.PLAN_PAGES,
+) -> DataFrame:
+    """(key, chars_status, pages_status) of a whole document; a missing count is unmeasured."""
+    require(docs, key, chars, pages)
+
+    def status(c: Column, bounds: tuple[int, int]) -> Column:
+        return (
+            F.when(c.isNull(), "unmeasured")
+            .when(c < bounds[0], "short")
+            .when(c > bounds[1], "long")
+            .otherwise("ok")
+        )
+
+    return docs.select(
+        key, status(F.col(chars), char_range).alias("chars_status"), status(F.col(pages), page_range).alias("pages_status")
+    )
+
+
 def token_counts(docs: DataFrame, by: Sequence[str], body: str) -> DataFrame:
     """(by, token, n); repeats meet in the map tasks before the shuffle."""
     return (

@@ -324,6 +324,30 @@ def page_expectation(spark, sf_dir):
     return judged.select("doc", "status")
 
 
+@query(
+    "image_sizes",
+    """SELECT l_suppkey AS doc, l_linenumber AS page, round(l_quantity / 72 * 25.4, 6) AS w_mm, round(l_tax / 72 * 25.4, 6) AS h_mm,
+  round(l_discount / 72 * 25.4, 6) AS x_mm, round(l_linenumber / 72 * 25.4, 6) AS y_mm FROM lineitem""",
+)
+def image_sizes(spark, sf_dir):
+    images = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("doc"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("w"),
+        F.col("l_tax").alias("h"), F.col("l_discount").alias("x"), F.col("l_linenumber").alias("y"),
+    )
+    sized = layout.image_sizes(images, "doc")
+    return sized.select("doc", "page", *[F.round(c, 6).alias(c) for c in ("w_mm", "h_mm", "x_mm", "y_mm")])
+
+
+@query(
+    "height_fit",
+    """SELECT l_orderkey AS doc, sum(l_quantity) AS required_mm, 150 - sum(l_quantity) AS spare_mm, sum(l_quantity) <= 150 AS fits
+FROM lineitem GROUP BY 1""",
+)
+def height_fit(spark, sf_dir):
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").alias("height_mm"))
+    return layout.height_fit(blocks, ["doc"], 150.0)
+
+
 @query(
     "segment_of",
     """WITH u AS (SELECT event_id, (date_part('hour', ts) * 60 + date_part('minute', ts)) / 100.0 AS m FROM events)
@@ -468,6 +492,21 @@ def form_rollup(spark, sf_dir):
     return rolled.select("doc_id", "cells", "empties", "paragraphs", "pictures")
 
 
+@query(
+    "document_rollup",
+    """SELECT l_orderkey % 100 AS doc_id, count(DISTINCT l_orderkey) AS sections, 3 * count(*) AS cells,
+  count(*) FILTER (l_discount = 0) AS empties, 3 * count(*) AS paragraphs, count(*) FILTER (l_tax = 0) AS pictures
+FROM lineitem GROUP BY 1""",
+)
+def document_rollup(spark, sf_dir):
+    """Orders as the sections of a hundred documents."""
+    sections = form_sections(spark, sf_dir).select(
+        (F.col("doc_id") % 100).alias("doc_id"), F.col("doc_id").alias("section"), "xml"
+    )
+    rolled = forms.form_rollup(form_source.form_cell_inventory(sections), form_source.section_counts(sections))
+    return forms.document_rollup(rolled)
+
+
 FILL_SQL = f"""
 WITH {CELLS_SQL}, v AS (
   SELECT o_orderkey AS doc_id, o_custkey % 8 AS row, o_custkey % 3 AS col,
@@ -710,6 +749,19 @@ def contract_check(spark, sf_dir):
     return found.select("c_custkey", "ok", F.array_join("errors", ",").alias("errors"))
 
 
+@query(
+    "blank_fields",
+    """SELECT c_custkey, concat_ws(',', CASE WHEN c_custkey % 5 = 0 THEN 'c_name' END, CASE WHEN c_custkey % 3 = 0 THEN 'c_mktsegment' END) AS blanks
+FROM customer""",
+)
+def blank_fields(spark, sf_dir):
+    covers = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    covers = covers.withColumn("c_name", F.when(F.col("c_custkey") % 5 == 0, "<name>").otherwise(F.col("c_name"))).withColumn(
+        "c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment"))
+    )
+    return rules.blank_fields(covers, "c_custkey", ["c_name", "c_mktsegment"])
+
+
 @query(
     "resolve_precedence",
     """WITH c AS (

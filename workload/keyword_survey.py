@@ -193,6 +193,24 @@ def demand_axes(spark, sf_dir):
     )
 
 
+@query(
+    "audience_label",
+    """WITH n AS (
+  SELECT o_orderpriority AS keyword, CASE WHEN c_custkey % 4 = 0 THEN 'unknown' ELSE c_mktsegment END AS audience, count(*) AS n
+  FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)
+SELECT keyword, first(audience ORDER BY n DESC, audience DESC) AS audience, round(max(n) / sum(n), 6) AS share FROM n GROUP BY 1""",
+)
+def audience_label(spark, sf_dir):
+    """Customers as channels; every fourth has no label."""
+    videos = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("keyword"), F.col("o_custkey").alias("channel")
+    )
+    labels = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 4 != 0).select(
+        F.col("c_custkey").alias("channel"), F.col("c_mktsegment").alias("audience")
+    )
+    return keywords.audience_label(videos, labels).withColumn("share", F.round("share", 6))
+
+
 @query(
     "volatile_metrics",
     """

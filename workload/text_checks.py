@@ -435,6 +435,45 @@ def cross_section_repeats(spark, sf_dir):
     return found.select("source", F.sha2("sentence", 256).alias("sentence_sha"), "sections", "copies")
 
 
+@query(
+    "table_repeats",
+    f"""WITH t AS (
+  SELECT doc_id, text || chr(10) || array_to_string(list_transform({Q.lines('text')},
+    lambda l: '| ' || replace(l, '|', ' ') || ' |'), chr(10)) AS t FROM documents),
+r AS (SELECT doc_id, list_transform({Q.lines('t')}, lambda l: {Q.strip('l')}) AS ls FROM t),
+c AS (
+  SELECT doc_id, array_to_string(list_filter(ls, lambda l: NOT starts_with(l, '|')), chr(10)) AS prose,
+    unnest(list_distinct(flatten(list_transform(list_filter(ls, lambda l: starts_with(l, '|')),
+      lambda l: list_transform(string_split(l, '|'), lambda x: {Q.strip('x')}))))) AS cell FROM r)
+SELECT doc_id, sha256(cell) AS cell_sha FROM c WHERE length(cell) >= 10 AND contains(prose, cell)""",
+)
+def table_repeats(spark, sf_dir):
+    """Documents with a table of their own lines put below."""
+    rows = F.array_join(
+        F.transform(
+            text.lines(F.col("text")),
+            lambda line: F.concat(F.lit("| "), F.replace(line, F.lit("|"), F.lit(" ")), F.lit(" |")),
+        ),
+        "\n",
+    )
+    docs = documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), rows))
+    found = textstyle.table_repeats(docs, "doc_id", "text")
+    return found.select("doc_id", F.sha2("cell", 256).alias("cell_sha"))
+
+
+@query(
+    "volume_bounds",
+    """SELECT doc_id, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars > 5000 THEN 'long' ELSE 'ok' END AS chars_status,
+  CASE WHEN doc_id % 6 = 0 THEN 'unmeasured' WHEN n_chars // 1000 < 1 THEN 'short' WHEN n_chars // 1000 > 4 THEN 'long' ELSE 'ok' END AS pages_status
+FROM documents""",
+)
+def volume_bounds(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "n_chars").withColumn(
+        "pages", F.when(F.col("doc_id") % 6 != 0, F.floor(F.col("n_chars") / 1000))
+    )
+    return textstyle.volume_bounds(docs, "doc_id", "n_chars", "pages", (500, 5000), (1, 4))
+
+
 @query(
     "signature_terms",
     f"""WITH t AS (SELECT lang, unnest({Q.tokens('text')}) AS token FROM documents),
