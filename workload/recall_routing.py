@@ -245,7 +245,7 @@ counts AS (
     f"""WITH {PAIRS_SQL}, p AS (
   SELECT axis, wins, n, least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * ln(2)))
     FROM (SELECT unnest(range(0, least(wins, n - wins) + 1)) AS k))) AS p FROM counts)
-SELECT axis, wins, n, round(wins / n, 6) AS rate, round(p, 6) AS p,
+SELECT axis, wins, n, round(wins / n, 6) AS rate, round(p + 1e-9, 6) AS p,
   CASE WHEN p < 0.05 THEN 'preference' ELSE 'no_preference' END AS verdict FROM p""",
 )
 def preference_test(spark, sf_dir):
@@ -269,5 +269,6 @@ def preference_test(spark, sf_dir):
     return (
         prefs.preference_test(pairs, features)
         .withColumn("rate", F.round("rate", 6))
-        .withColumn("p", F.round("p", 6))
+        # p is a binary fraction: the small step keeps it off the rounding edge
+        .withColumn("p", F.round(F.col("p") + 1e-9, 6))
     )
