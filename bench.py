@@ -18,13 +18,13 @@ from galley.session import build_session  # noqa: E402
 from workload import QUERIES  # noqa: E402
 
 HEADLINE = [
-    "prompts_per_session", "first_occurrence", "load_counts",
+    "prompts_per_session", "first_occurrence",
     "stale_work", "chain_tips", "collisions", "task_focus", "interrupted_sessions",
-    "survey_report", "demand_axes", "trailing_count", "price_trend", "placement_plan",
-    "style_verdict", "style_metrics", "cross_section_repeats", "signature_terms", "sensitive_scan",
+    "survey_report", "demand_axes", "trailing_count",
+    "style_verdict", "cross_section_repeats", "signature_terms", "sensitive_scan",
     "carry_forward_sections", "running_fence", "html_elements",
     "missing_copy", "drift_verdict", "shared_passages", "line_changes", "three_way_drift",
-    "extents", "page_rollup", "form_rollup", "fill_cells", "reconcile_verdict",
+    "extents", "page_rollup", "fill_cells",
     "verdict", "contract_check", "resolve_precedence",
     "map_objects", "dictionary_match", "head_and_rest", "similar_top_k", "preference_test",
     "stream_trailing_count", "stream_idle_items",
@@ -56,8 +56,7 @@ def main() -> None:
 
     timings = {}
     for name in names:
-        if repeat > 1:
-            once(name)  # warm-up
+        once(name)  # warm-up
         timings[name] = round(statistics.median(once(name) for _ in range(repeat)), 3)
         print(name, timings[name], file=sys.stderr, flush=True)
     print(

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from galley.functions import lexicon, text
 from galley.operators import ordered
 from galley.schema import require
+from galley.session import shared_dir
 
 FENCE = r"^\s*```"
 LONG_CELL = 50
@@ -253,10 +253,13 @@ def token_counts(docs: DataFrame, by: Sequence[str], body: str) -> DataFrame:
 def signature_terms(captions: DataFrame, channel: str, body: str, min_count: int, k: int = 5) -> DataFrame:
     """(channel, rank, token, n, score): words a channel uses far more than the others.
 
-    Score is the share in the channel over the share in all channels.
+    Score is the share in the channel over the share in all channels. The
+    counts are needed four times and are far smaller than the captions, so they
+    are checkpointed in the shared folder: the captions are read once.
     """
     require(captions, channel, body)
-    counts = token_counts(captions, [channel], body)
+    shared_dir(captions.sparkSession)
+    counts = token_counts(captions, [channel], body).checkpoint()
     overall = counts.groupBy("token").agg(F.sum("n").alias("_all"))
     per_channel = counts.groupBy(channel).agg(F.sum("n").alias("_channel"))
     grand = counts.agg(F.sum("n")).scalar()

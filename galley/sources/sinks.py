@@ -24,19 +24,26 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def insert_new(df: DataFrame, path: str, key: str) -> None:
+    """Add the rows whose key is not stored yet, one row per key, in one pass."""
+    require(df, key)
+    stored = read_or_empty(df.sparkSession, path, df.schema)
+    fresh = prompts.only_new(df.filter(F.col(key).isNotNull()), stored, key)
+    one_per_key = prompts.first_occurrence(fresh, [key], [c for c in df.columns if c != key])
+    one_per_key.select(*df.columns).write.mode("append").parquet(path)
+
+
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Add the rows whose key is not stored yet; returns the load counts.
+    """As `insert_new`, and returns the load counts. Running it again adds nothing.
 
-    Running it again adds nothing. The counts are taken on the key column alone
-    before the write, so they are exact even when tasks of the write are retried.
+    The counts are taken on the key column alone before the write, so they are
+    exact even when tasks of the write are retried.
     """
     require(df, key)
     spark = df.sparkSession
     stored = read_or_empty(spark, path, df.schema)
     counts = prompts.load_counts(df, stored, key).collect()  # one row
-    fresh = prompts.only_new(df.filter(F.col(key).isNotNull()), stored, key)
-    one_per_key = prompts.first_occurrence(fresh, [key], [c for c in df.columns if c != key])
-    one_per_key.select(*df.columns).write.mode("append").parquet(path)
+    insert_new(df, path, key)
     return spark.createDataFrame(counts)
 
 

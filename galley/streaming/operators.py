@@ -31,7 +31,7 @@ def load_prompts(events: DataFrame, store: str, checkpoint: str, delay: str = "1
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        sinks.append_new(batch, store, "turn_uuid")
+        sinks.insert_new(batch, store, "turn_uuid")
 
     return run.for_each_batch(keyed_prompts(events, delay), load, checkpoint)
 

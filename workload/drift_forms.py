@@ -281,6 +281,20 @@ def extents(spark, sf_dir):
     )
 
 
+@query(
+    "invalid_measurements",
+    """SELECT l_orderkey AS deck, count(*) FILTER (l_tax = 0 OR l_returnflag = 'R') AS unloaded FROM lineitem
+GROUP BY 1 HAVING count(*) FILTER (l_tax = 0 OR l_returnflag = 'R') > 0""",
+)
+def invalid_measurements(spark, sf_dir):
+    """Untaxed lines are images that did not load, returned ones were not looked at."""
+    images = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("deck"),
+        F.when(F.col("l_returnflag") != "R", F.col("l_tax") != 0).alias("loaded"),
+    )
+    return layout.invalid_measurements(images, ["deck"])
+
+
 @query(
     "page_rollup",
     """SELECT l_suppkey AS doc, count(DISTINCT l_linenumber) AS pages, sum(length(l_returnflag || l_linestatus)) AS chars,
