@@ -86,26 +86,49 @@ def contract_check(
     """
     require(records, key, "has_header", "fields")
 
-    def field(name: str) -> Column:
-        return F.try_element_at(F.filter("fields", lambda f: f["name"] == name), F.lit(-1))
+    names = list(dict.fromkeys([*required, *lists]))
 
-    def blank(name: str) -> Column:
-        return F.forall(field(name)["items"], lambda i: (text.strip(i) == "") | text.strip(i).rlike(r"^<.*>$"))
+    def field(name: str) -> Column:
+        return F.col(f"_f{names.index(name)}")
+
+    def found_in(name: str) -> Column:
+        """The last field of that name, with whether it is blank."""
+        last = F.try_element_at(F.filter("fields", lambda f: f["name"] == name), F.lit(-1))
+        blank_item = lambda i: (text.strip(i) == "") | text.strip(i).rlike(r"^<.*>$")
+        return text.bind(
+            last,
+            lambda f: F.when(
+                f.isNotNull(),
+                F.struct(
+                    f["is_list"].alias("is_list"),
+                    F.size(f["items"]).alias("n"),
+                    F.forall(f["items"], blank_item).alias("blank"),
+                ),
+            ),
+        )
 
     errors = []
     for name in required:
-        errors.append(F.when(field(name).isNull(), f"missing:{name}").when(blank(name), f"blank:{name}"))
+        errors.append(
+            F.when(field(name).isNull(), f"missing:{name}").when(field(name)["blank"], f"blank:{name}")
+        )
     for name, most in lists.items():
         found = field(name)
-        is_list = found["is_list"]
-        too_many = F.lit(False) if most is None else is_list & (F.size(found["items"]) > most)
+        too_many = F.lit(False) if most is None else found["is_list"] & (found["n"] > most)
         errors.append(
-            F.when(too_many, f"too_many:{name}").when(~is_list & ~blank(name), f"not_a_list:{name}")
+            F.when(too_many, f"too_many:{name}").when(
+                ~found["is_list"] & ~found["blank"], f"not_a_list:{name}"
+            )
         )
     listed = F.when(F.col("has_header"), F.array_compact(F.array(*errors))).otherwise(
         F.array(F.lit("no_header"))
     )
-    return records.select(key, (F.size(listed) == 0).alias("ok"), listed.alias("errors"))
+    looked_up = records.select(
+        key, "has_header", *[found_in(n).alias(f"_f{k}") for k, n in enumerate(names)]
+    )
+    return looked_up.select(key, listed.alias("errors")).select(
+        key, (F.size("errors") == 0).alias("ok"), "errors"
+    )
 
 
 def resolve_precedence(claims: DataFrame, key: Sequence[str], weakest: int) -> DataFrame:
