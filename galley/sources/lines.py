@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import text
@@ -64,7 +64,7 @@ def carry_forward_sections(
     )
 
 
-def _unquote(c):
+def _unquote(c: Column) -> Column:
     bare = F.trim(F.regexp_replace(text.strip(c), r"\s+#.*$", ""))
     return F.trim(F.regexp_replace(bare, r"""^["'](.*)["']$""", "$1"))
 
@@ -80,25 +80,31 @@ def front_matter(docs: DataFrame, key: str, body: str) -> DataFrame:
     has_header = F.col(body).rlike(r"^---\r?\n[\s\S]*?\r?\n---")
     # A key line starts a block of its own; the items below it stay with it.
     pieces = F.split(block, r"\r?\n(?=[A-Za-z_]\w*\s*:)")
-    pieces = F.filter(pieces, lambda p: F.regexp_extract(text.lines(p)[0], FRONT_KEY, 1) != "")
-
-    def field(piece):
-        rows = text.lines(piece)
-        items = F.transform(
-            F.filter(
-                F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))),
-                lambda r: r.rlike(FRONT_ITEM) & ~text.strip(r).startswith("#"),
-            ),
-            lambda r: _unquote(F.regexp_extract(r, FRONT_ITEM, 1)),
-        )
-        scalar = _unquote(F.regexp_extract(rows[0], FRONT_KEY, 2))
-        # The first list item replaces a scalar written on the key line.
-        is_list = (F.size(items) > 0) | (scalar == "")
-        return F.struct(
-            F.regexp_extract(rows[0], FRONT_KEY, 1).alias("name"),
-            F.when(is_list, items).otherwise(F.array(scalar)).alias("items"),
-            is_list.alias("is_list"),
-        )
+    pieces = F.filter(pieces, lambda p: p.rlike(r"^[A-Za-z_]\w*\s*:"))
+
+    def field(piece: Column) -> Column:
+        def of_rows(rows: Column) -> Column:
+            items = F.transform(
+                F.filter(
+                    F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))),
+                    lambda r: r.rlike(FRONT_ITEM) & ~text.strip(r).startswith("#"),
+                ),
+                lambda r: _unquote(F.regexp_extract(r, FRONT_ITEM, 1)),
+            )
+            scalar = _unquote(F.regexp_extract(rows[0], FRONT_KEY, 2))
+            name = F.regexp_extract(rows[0], FRONT_KEY, 1)
+            return F.struct(name.alias("name"), scalar.alias("scalar"), items.alias("items"))
+
+        def of_parts(parts: Column) -> Column:
+            # The first list item replaces a scalar written on the key line.
+            is_list = (F.size(parts["items"]) > 0) | (parts["scalar"] == "")
+            return F.struct(
+                parts["name"].alias("name"),
+                F.when(is_list, parts["items"]).otherwise(F.array(parts["scalar"])).alias("items"),
+                is_list.alias("is_list"),
+            )
+
+        return text.bind(text.bind(text.lines(piece), of_rows), of_parts)
 
     return docs.select(
         key, has_header.alias("has_header"), F.when(has_header, F.transform(pieces, field)).alias("fields")
