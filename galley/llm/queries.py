@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
-from galley.llm import byte_bpe, edit_match, language_crf, ngram_join, pii_semicrf
+from galley.llm import (
+    byte_bpe,
+    edit_match,
+    html_lstm,
+    language_crf,
+    lattice_lm,
+    ngram_join,
+    pii_semicrf,
+    quality_net,
+    vector_dedup,
+)
 
 QUERIES = {
     "op1_pii_semicrf": pii_semicrf.op1_pii_semicrf,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op6_edit_match": edit_match.op6_edit_match,
+    "op7_html_lstm": html_lstm.op7_html_lstm,
     "op8_language_crf": language_crf.op8_language_crf,
+    "op9_vector_dedup": vector_dedup.op9_vector_dedup,
+    "op10_quality_net": quality_net.op10_quality_net,
 }
 
 SQL = {
     "op4_ngram_join": ngram_join.OP4_SQL,
+    "op9_vector_dedup": vector_dedup.OP9_SQL,
 }
