@@ -9,6 +9,7 @@ from galley.llm import (
     language_crf,
     lattice_lm,
     ngram_join,
+    passage_dedup,
     pii_semicrf,
     quality_net,
     vector_dedup,
@@ -17,6 +18,7 @@ from galley.llm import (
 QUERIES = {
     "op1_pii_semicrf": pii_semicrf.op1_pii_semicrf,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_passage_dedup": passage_dedup.op3_passage_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_lattice_lm": lattice_lm.op5_lattice_lm,
     "op6_edit_match": edit_match.op6_edit_match,
