@@ -126,9 +126,12 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (table / np.maximum(length, 1e-9)).astype(np.float32)
 
 
+FEATURES = 4 * DIMENSION + 2
+
+
 def features(column: pa.Array, table: np.ndarray) -> np.ndarray:
     """Pooled vectors of texts: mean and spread over words and over shapes, and their number."""
-    out = np.zeros((len(column), 4 * DIMENSION + 2), dtype=np.float64)
+    out = np.zeros((len(column), FEATURES))
     for words, original in _originals(column):
         bounds = words.bounds
         count = np.diff(bounds)
@@ -235,7 +238,7 @@ def trained(docs: DataFrame, labels: DataFrame):
     sample = append(labelled_sample(docs, labels), pooled, [("x", "array<double>")]).select("x", "quality").collect()
     # The order of rows from a cluster is not fixed; the fit must not depend on it.
     sample.sort(key=lambda r: (r["x"], r["quality"]))
-    x = np.array([r["x"] for r in sample]).reshape(len(sample), -1)
+    x = np.array([r["x"] for r in sample]).reshape(len(sample), FEATURES)
     return shared, fit(x, np.array([r["quality"] for r in sample], dtype=float))
 
 

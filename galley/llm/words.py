@@ -130,7 +130,7 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     for i in range(width):
         inside = left > i
         shifted = np.zeros(n, dtype=np.uint64)
-        shifted[: n - i] = key[i:] if i else key
+        shifted[: max(n - i, 0)] = key[i:]
         gram = np.where(inside, mix(gram * np.uint64(31) + shifted + np.uint64(i + 1)), gram)
     whole = (left >= width) | ((at == bounds[:-1][words.row]) & (count[words.row] < width))
     gram, row = gram[whole], words.row[whole]
