@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from galley.session import apply_defaults, scratch_path, shared_dir
 
 
-def prepare(spark: SparkSession, rows: int = 2000) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> SparkSession:
     """Session settings of the Arrow operators: batches bounded in rows and bytes."""
     apply_defaults(spark)
     shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 

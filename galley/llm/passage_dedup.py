@@ -37,7 +37,9 @@ from galley.llm.words import mix, powers, raw
 
 LENGTH = 50
 ANCHOR = 20
-INDEX_BYTES = 3 << 20  # stretches that are indexed together
+INDEX_BYTES = 384 << 10  # stretches that are indexed together
+PART_ROWS, PART_BYTES = 400, 1_250_000  # texts of a part
+BUCKETS_PER_PARTITION = 4
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -72,19 +74,18 @@ class Part:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, dtype=np.uint64, out=total[1:])
         gram = mix((total[ANCHOR:] - total[:-ANCHOR]) * down[: n - ANCHOR + 1])
-        # The leftmost least gram of each window, by doubling.
-        least, width = np.arange(len(gram)), 1
+        # High bits of the hash over the place: the least is the leftmost of equals, and windows of equal
+        # bytes choose alike. The minimum over a window by doubling.
+        least, width = gram & np.uint64(0xFFFFFFFF00000000) | np.arange(len(gram), dtype=np.uint64), 1
         while width * 2 <= windows:
-            a, b = least[:-width], least[width:]
-            least = np.where(gram[a] <= gram[b], a, b)
+            least = np.minimum(least[:-width], least[width:])
             width *= 2
-        shift = windows - width
-        a, b = least[: len(gram) - windows + 1], least[shift : shift + len(gram) - windows + 1]
-        least = np.where(gram[a] <= gram[b], a, b)
-        start = np.arange(len(least))
-        row = np.searchsorted(self.offsets, start, "right") - 1
-        whole = (start + LENGTH <= self.offsets[row + 1]) & (self.ids[row] != NO_ID)
-        start, least, row = start[whole], least[whole], row[whole]
+        shift, count = windows - width, len(gram) - windows + 1
+        least = (np.minimum(least[:count], least[shift : shift + count]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        length = np.diff(self.offsets)
+        limit = np.where(self.ids == NO_ID, 0, self.offsets[1:] - LENGTH)  # the last window of each text
+        start = np.flatnonzero(np.arange(count) <= np.repeat(limit, length)[:count])
+        least, row = least[start], np.repeat(np.arange(len(length)), length)[start]
         fresh = np.ones(len(start), dtype=bool)
         fresh[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(fresh)
@@ -283,11 +284,12 @@ def _cut(buckets: int):
                 for b, at in dealt:
                     owner[at], mask[at] = np.frombuffer(given[b][0], np.int64), np.frombuffer(given[b][1], np.uint32)
                 whole = part.ids[row] > owner[back]
+                change += np.bincount(low[whole], minlength=n + 1) - np.bincount(high[whole] + LENGTH, minlength=n + 1)
+                some = np.flatnonzero(~whole & (mask[back] != 0))
                 for window in range(LENGTH - ANCHOR + 1):
-                    inside = low + window <= high
-                    hit = inside & (whole | ((mask[back] >> np.uint32(window)) & np.uint32(1)).astype(bool))
-                    np.add.at(change, low[hit] + window, 1)
-                    np.add.at(change, low[hit] + window + LENGTH, -1)
+                    hit = low[some[((mask[back[some]] >> np.uint32(window)) & np.uint32(1)).astype(bool)]] + window
+                    np.add.at(change, hit, 1)
+                    np.add.at(change, hit + LENGTH, -1)
             gone = np.cumsum(change[:-1]) > 0
             for r, (a, b) in enumerate(zip(part.offsets[:-1].tolist(), part.offsets[1:].tolist())):
                 lost = gone[a:b]
@@ -307,7 +309,8 @@ def _cut(buckets: int):
 def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept) of every row of (doc_id, text)."""
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prepare(spark, PART_ROWS, PART_BYTES)
+    buckets = buckets or BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = stored(docs.mapInArrow(_pack, "home long, packed binary"), "passage-parts")
     bits = stored(
@@ -335,7 +338,7 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark, 1500).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs).select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
