@@ -13,7 +13,7 @@ LEAST_LANGUAGE_SCORE = 0.3
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents without a language, or with one that stays unsure, go."""
-    prepare(spark, 4000)
+    prepare(spark, 1500)
     model = language_crf.trained(docs)
     found = language_crf.identify_languages(docs, model, prefix="_op8_")
     if model is None:  # nothing to learn from: no text is rejected for its language
@@ -42,7 +42,6 @@ def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: the ids of each text, and whether they decode to it."""
-    prepare(spark)
     out = byte_bpe.round_trip(docs, prefix="_op2_")
     same = F.col("_op2_decoded") == F.coalesce("text", F.lit("")).cast("binary")
     plain = [c for c in docs.columns if c not in ("n_tokens", "ids", "decodes")]

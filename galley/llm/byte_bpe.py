@@ -34,7 +34,8 @@ from galley.llm.words import SLICE_BYTES, mix, powers, raw
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 65_536, 4_096
-CACHE = 1_500_000  # words a worker remembers
+CACHE = 1_000_000  # words a worker remembers
+ROWS, ROW_BYTES = 400, 1_500_000  # texts encoded together; the decimals of their ids take most memory
 LONG_PIECE = 96  # bytes from which the merges use a heap
 
 
@@ -516,12 +517,13 @@ def given_ranks() -> tuple[dict[bytes, int], str]:
 
 def round_trip(docs: DataFrame, prefix: str = "") -> DataFrame:
     """Adds n_tokens, ids and decoded to the documents, with the given rank file."""
+    prepare(docs.sparkSession, ROWS, ROW_BYTES)
     ranks, pattern = given_ranks()
     return decode_ids(encode_texts(docs, ranks, pattern, prefix=prefix), ranks, pattern, ids_col=prefix + "ids", out_col=prefix + "decoded")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return round_trip(docs).select(
         "doc_id",
         "n_tokens",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from galley.session import apply_defaults, scratch_path, shared_dir
 
 
-def prepare(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> SparkSession:
+def prepare(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> SparkSession:
     """Session settings of the Arrow operators: batches bounded in rows and bytes."""
     apply_defaults(spark)
     shared_dir(spark)

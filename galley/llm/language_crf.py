@@ -288,7 +288,7 @@ def trained(docs: DataFrame) -> Crf | None:
 
 
 def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark, 4000).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = prepare(spark, 1500).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = identify_languages(docs.select("doc_id", "text"), trained(docs))
     return found.select(
         "doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "n_words", "n_switches"
