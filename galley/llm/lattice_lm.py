@@ -189,7 +189,7 @@ def _score(n: int, v: int):
 def score_texts(docs: DataFrame, trains: str, held_out: str, weights: Weights) -> DataFrame:
     """Scores of all texts of (doc_id, text), learned from the rows where the expression `trains` holds."""
     spark = docs.sparkSession
-    prepare(spark, 3000, 10 << 20)
+    prepare(spark, 1800, 6 << 20)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select(
         "doc_id", "text", F.coalesce(F.expr(trains), F.lit(False)).alias("trains"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")
