@@ -145,7 +145,7 @@ def demand_axes(
     videos: DataFrame, as_of: str, *, one_hit: float = 10.0, small_channel: int = 40_000,
     months: int = 6, width: float = 1_000.0,
 ) -> DataFrame:
-    """Per keyword: median and top views, one-hit flag, small channels, recent share."""
+    """Per keyword: median and top views, one-hit flag, videos by small channels, recent share."""
     require(videos, "keyword", "channel", "followers", "views", "uploaded")
     recent = F.col("uploaded") >= F.add_months(F.lit(as_of).cast("date"), -months)
     small = F.col("followers") < small_channel
@@ -159,7 +159,7 @@ def demand_axes(
     facts = per_channel.groupBy("keyword").agg(
         F.sum("_n").alias("videos"),
         F.max("_top").alias("top_views"),
-        F.count_if("_small").alias("small_channels"),
+        F.coalesce(F.sum(F.when(F.col("_small"), F.col("_n"))), F.lit(0)).alias("small_channel_videos"),
         (F.sum("_recent") / F.sum("_n")).alias("recent_share"),
     )
     median = ordered.exact_quantile(videos, ["keyword"], "views", 0.5, "median_views", width)

@@ -40,9 +40,11 @@ def similar_top_k(vectors: DataFrame, query: Column, key: str, vector: str, k: i
     """
     require(vectors, key, vector)
     scored = vectors.select(key, vector, query.alias("_query")).select(
-        key, F.round(stats.cosine(F.col(vector), F.col("_query")), 6).alias("similarity")
+        key, stats.cosine(F.col(vector), F.col("_query")).alias("similarity")
     )
-    return scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), key).limit(k)
+    # Ranked on the raw value; only what is shown is rounded.
+    best = scored.filter(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), key).limit(k)
+    return best.withColumn("similarity", F.round("similarity", 6))
 
 
 def keyword_hits(docs: DataFrame, key: str, body: str, variants: Sequence[str]) -> DataFrame:

@@ -268,10 +268,11 @@ def signature_terms(captions: DataFrame, channel: str, body: str, min_count: int
         counts.filter(F.col("n") >= min_count)
         .join(overall, "token")
         .join(per_channel, channel)
-        .select(channel, "token", "n", F.round(score, 6).alias("score"))
+        .select(channel, "token", "n", score.alias("score"))
     )
     best = Window.partitionBy(channel).orderBy(F.desc("score"), F.desc("n"), "token")
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", 6))
 
 
 def format_mix(

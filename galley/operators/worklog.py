@@ -27,8 +27,12 @@ def _date(c: Column) -> Column:
 
 
 def work_item_header(notes: DataFrame) -> DataFrame:
-    """Handoff notes (name, body) to item columns, inside the row of each note."""
+    """Handoff notes (name, body) to item columns, inside the row of each note.
+
+    Notes that were written automatically are no work items.
+    """
     require(notes, "name", "body")
+    notes = notes.filter(~F.col("name").contains("autohandoff"))
     body = F.col("body")
     status = F.regexp_extract(body, STATUS_LINE, 1)
     confirmed = F.array_max(

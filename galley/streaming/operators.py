@@ -12,28 +12,23 @@ from galley.sources import sinks
 from galley.streaming import run
 
 
-def keyed_prompts(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Typed prompts with their keys, repeats inside the delay dropped.
-
-    An event without a time counts from its arrival.
-    """
-    typed = prompts.typed_prompts(events)
-    timed = typed.withColumn("ts", F.coalesce("ts", F.current_timestamp()))
-    keyed = prompts.keyed(timed)
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["turn_uuid"])
+def keyed_prompts(events: DataFrame) -> DataFrame:
+    """Typed prompts with their keys, whatever their time; an event may have none."""
+    return prompts.keyed(prompts.typed_prompts(events))
 
 
-def load_prompts(events: DataFrame, store: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
-    """Load a stream of events once.
+def load_prompts(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Load a stream of events once, in any order of their times.
 
-    Repeats beyond the delay, and batches delivered again, are stopped by the
-    keys already in the store.
+    No watermark: an event is never too late. Repeats inside a batch meet under
+    their key; later ones, and batches delivered again, are stopped by the keys
+    already in the store.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        sinks.insert_new(batch, store, "turn_uuid")
+        sinks.insert_new(batch.dropDuplicates(["turn_uuid"]), store, "turn_uuid")
 
-    return run.for_each_batch(keyed_prompts(events, delay), load, checkpoint)
+    return run.for_each_batch(keyed_prompts(events), load, checkpoint)
 
 
 def trailing_count(

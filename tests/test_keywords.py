@@ -86,7 +86,7 @@ def test_demand_axes(spark):
     rows = [("k", "big", 40_000, 1000, d(2026, 2, 15)), ("k", "small", 39_999, 10, d(2026, 2, 14)), ("k", "small", 39_999, 20, d(2026, 8, 1))]
     videos = spark.createDataFrame(rows, "keyword string, channel string, followers long, views long, uploaded date")
     got = keywords.demand_axes(videos, "2026-08-15").first()
-    assert (got.median_views, got.top_views, got.small_channels, got.one_hit) == (20, 1000, 1, True)
+    assert (got.median_views, got.top_views, got.small_channel_videos, got.one_hit) == (20, 1000, 2, True)
     assert got.recent_share == pytest.approx(2 / 3)  # exactly six months ago still counts
 
 

@@ -170,10 +170,10 @@ def residual_ratio(spark, sf_dir):
     """
 WITH f AS (
   SELECT o_orderpriority AS keyword, count(*) AS videos, median(o_totalprice) AS m, max(o_totalprice) AS top_views,
-    count(DISTINCT CASE WHEN o_custkey * 60 < 40000 THEN o_custkey END) AS small_channels,
+    count(*) FILTER (o_custkey * 60 < 40000) AS small_channel_videos,
     avg(CASE WHEN o_orderdate >= DATE '2000-07-01' THEN 1.0 ELSE 0.0 END) AS r
   FROM orders GROUP BY 1)
-SELECT keyword, videos, round(m, 4) AS median_views, top_views, small_channels,
+SELECT keyword, videos, round(m, 4) AS median_views, top_views, small_channel_videos,
   round(r, 6) AS recent_share, top_views / m >= 1.9 AS one_hit FROM f
 """,
 )

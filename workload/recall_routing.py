@@ -132,9 +132,10 @@ def byte_order_sort(spark, sf_dir):
 
 NEAREST_SQL = """
 nearest AS (
-  SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
-    CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])), 6) AS similarity
-  FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 8)"""
+  SELECT vec_id, round(raw, 6) AS similarity FROM (
+    SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]),
+      CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])) AS raw
+    FROM embeddings ORDER BY raw DESC, vec_id LIMIT 8))"""
 
 
 def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -479,12 +479,12 @@ def volume_bounds(spark, sf_dir):
     f"""WITH t AS (SELECT lang, unnest({Q.tokens('text')}) AS token FROM documents),
 c AS (SELECT lang, token, count(*) AS n FROM t GROUP BY ALL),
 s AS (
-  SELECT lang, token, n, round((CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY lang))
-    / (CAST(sum(n) OVER (PARTITION BY token) AS DOUBLE) / sum(n) OVER ()), 6) AS score FROM c),
+  SELECT lang, token, n, (CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY lang))
+    / (CAST(sum(n) OVER (PARTITION BY token) AS DOUBLE) / sum(n) OVER ()) AS score FROM c),
 r AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, n DESC, token) AS rank
   FROM s WHERE n >= 20)
-SELECT lang, rank, token, n, score FROM r WHERE rank <= 5""",
+SELECT lang, rank, token, n, round(score, 6) AS score FROM r WHERE rank <= 5""",
 )
 def signature_terms(spark, sf_dir):
     docs = texts(spark, sf_dir, "documents", "doc_id", "lang", "text")
