@@ -141,20 +141,31 @@ def segment_of(
 def segments_of_deck(utterances: DataFrame, segments: DataFrame, deck: str) -> DataFrame:
     """As `segment_of` with segments per deck from a table.
 
-    A segment is spread over the whole minutes it touches, the join is on deck
-    and minute, and the exact bounds are tested after it.
+    A segment is spread over the whole minutes it touches, and the join is on deck,
+    minute and the exact bounds. Every utterance stays: one outside all segments is a
+    `gap` before the deck's last segment ends and an `overrun` otherwise, and allows no
+    call to action. Segments of a deck do not overlap.
     """
     require(utterances, deck, "at_min")
     require(segments, deck, "segment", "from_min", "to_min", "cta_allowed")
-    minutes = segments.withColumn(
-        "_m", F.explode(F.sequence(F.floor("from_min"), F.ceil("to_min") - 1))
+    minutes = segments.select(
+        F.col(deck).alias("_deck"), "segment", "from_min", "to_min", "cta_allowed",
+        F.explode(F.sequence(F.floor("from_min"), F.ceil("to_min") - 1)).alias("_m"),
     )
-    inside = (F.col("at_min") >= F.col("from_min")) & (F.col("at_min") < F.col("to_min"))
+    ends = segments.groupBy(deck).agg(F.max("to_min").alias("_end"))
+    inside = (
+        (F.col(deck) == F.col("_deck"))
+        & (F.floor("at_min") == F.col("_m"))
+        & (F.col("at_min") >= F.col("from_min"))
+        & (F.col("at_min") < F.col("to_min"))
+    )
+    outside = F.when(F.col("at_min") < F.col("_end"), "gap").otherwise("overrun")
     return (
-        utterances.withColumn("_m", F.floor("at_min"))
-        .join(minutes, [deck, "_m"])
-        .filter(inside)
-        .drop("_m")
+        utterances.join(ends, deck, "left")
+        .join(minutes, inside, "left")
+        .withColumn("segment", F.when(F.col("_deck").isNull(), outside).otherwise(F.col("segment")))
+        .withColumn("cta_allowed", F.coalesce("cta_allowed", F.lit(False)))
+        .drop("_deck", "_m", "_end")
     )
 
 

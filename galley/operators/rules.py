@@ -10,30 +10,22 @@ from pyspark.sql import functions as F
 from galley.functions import lexicon, text
 from galley.schema import require
 
-MAX_RULES = 10_000
 
+def judge(
+    measures: DataFrame, rules: DataFrame, key: Sequence[str], kind: str, mode: str | None = None
+) -> DataFrame:
+    """One row per key and rule of its kind: (key, metric, value, status).
 
-def bounded_rows(rules: DataFrame, limit: int = MAX_RULES) -> Column:
-    """A rule table as one array, for tables a person writes.
-
-    The size is checked; a table over the limit is refused, not cut.
-    """
-    if rules.limit(limit + 1).count() > limit:
-        raise ValueError(f"a rule table may hold at most {limit} rows")
-    return rules.agg(F.sort_array(F.collect_list(F.struct(*rules.columns))).alias("_rules")).scalar()
-
-
-def judge(measures: DataFrame, rules: DataFrame, key: Sequence[str], mode: str | None = None) -> DataFrame:
-    """One row per key and rule: (key, metric, value, status).
-
+    `kind` names the column of both tables that tells which rules apply to a key.
     A missing row and a NULL value are both `unmeasured`, never a pass. Under
     its mode a rule is only `info`; an advisory rule warns instead of failing.
     """
-    require(measures, *key, "metric", "value", *([mode] if mode else []))
+    require(measures, *key, kind, "metric", "value", *([mode] if mode else []))
+    require(rules, kind, "metric", "comparator", "bound", "tolerance", "info_mode", "mandatory")
     of_key = measures.groupBy(*key).agg(
-        (F.max(mode) if mode else F.lit(None).cast("string")).alias("_mode")
+        F.max(kind).alias(kind), (F.max(mode) if mode else F.lit(None).cast("string")).alias("_mode")
     )
-    expected = of_key.withColumn("_r", F.explode(bounded_rows(rules))).select(*key, "_mode", "_r.*")
+    expected = of_key.join(rules, kind)
     joined = expected.join(measures.select(*key, "metric", "value"), [*key, "metric"], "left")
     value, bound, slack = F.col("value"), F.col("bound"), F.col("tolerance")
     holds = (
@@ -283,16 +275,27 @@ def catalog_bucket(
 
 
 def tenant_guard(rows: DataFrame, claims: DataFrame, token: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected). The tenant comes from the token, never from the row."""
+    """(accepted, rejected). The tenant comes from the token, never from the row.
+
+    A token that stands for several tenants is rejected.
+    """
     require(rows, token, "tenant_claimed")
     require(claims, token, "tenant")
-    joined = rows.join(claims.select(token, "tenant"), token, "left")
+    one = F.min("tenant") == F.max("tenant")
+    owners = claims.groupBy(token).agg(
+        F.when(one, F.min("tenant")).alias("tenant"), F.coalesce(~one, F.lit(False)).alias("_several")
+    )
+    joined = rows.join(owners, token, "left")
     fits = F.col("tenant").isNotNull() & (
         F.col("tenant_claimed").isNull() | (F.col("tenant_claimed") == F.col("tenant"))
     )
-    accepted = joined.filter(fits).drop("tenant_claimed")
-    reason = F.when(F.col("tenant").isNull(), "unknown_token").otherwise("tenant_mismatch")
-    return accepted, joined.filter(~fits).withColumn("reason", reason)
+    accepted = joined.filter(fits).drop("tenant_claimed", "_several")
+    reason = (
+        F.when(F.col("_several"), "ambiguous_token")
+        .when(F.col("tenant").isNull(), "unknown_token")
+        .otherwise("tenant_mismatch")
+    )
+    return accepted, joined.filter(~fits).withColumn("reason", reason).drop("_several")
 
 
 def candidate_limits(

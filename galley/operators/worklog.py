@@ -167,9 +167,11 @@ def chain_tips(items: DataFrame, checkpoint_every: int = 2) -> DataFrame:
     Each round doubles the reach of every pointer, so a chain of a million items
     takes twenty rounds. Rounds that resolve nothing leave only cycles. The
     pointers are checkpointed in the shared folder, so a lost executor does not
-    replay the rounds.
+    replay the rounds. An item that is listed several times counts once, with the
+    smallest of its successors.
     """
     require(items, "item_id", "successor")
+    items = items.groupBy("item_id").agg(F.min("successor").alias("successor"))
     shared_dir(items.sparkSession)
     known = items.select(F.col("item_id").alias("successor"), F.lit(True).alias("_known"))
     # A successor nobody knows ends its chain at the item that names it.

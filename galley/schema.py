@@ -25,6 +25,7 @@ RULES = T.StructType(
         T.StructField("tolerance", T.DoubleType(), False),
         T.StructField("info_mode", T.StringType()),
         T.StructField("mandatory", T.BooleanType(), False),
+        T.StructField("kind", T.StringType(), False),
     ]
 )
 

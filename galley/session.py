@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # A JSON object with a repeated key is read, its last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Sessions of one key are merged in each map task before the shuffle.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

@@ -51,10 +51,12 @@ def changed_records(df: DataFrame, stored: DataFrame, key: str, payload: Sequenc
     """Each key with its action and the payload that holds after the update.
 
     Only a changed payload counts as an update; a key that is no longer sent is kept.
+    Of a key that is sent several times the row with the smallest payload counts.
     """
     require(df, key, *payload)
     require(stored, key, *payload)
-    new = df.select(key, F.struct(*payload).alias("_new"), keys.payload_hash(*[F.col(c) for c in payload]).alias("_nh"))
+    one_per_key = prompts.first_occurrence(df.select(key, *payload), [key], list(payload))
+    new = one_per_key.select(key, F.struct(*payload).alias("_new"), keys.payload_hash(*[F.col(c) for c in payload]).alias("_nh"))
     old = stored.select(key, F.struct(*payload).alias("_old"), keys.payload_hash(*[F.col(c) for c in payload]).alias("_oh"))
     action = (
         F.when(F.col("_oh").isNull(), "insert")

@@ -11,7 +11,8 @@ from galley.functions import text
 def parse_events(raw: DataFrame) -> DataFrame:
     """Rows (session_id, line_no, value) to typed events.
 
-    Blank and malformed lines are skipped. `is_text` tells a typed text from a
+    Blank and malformed lines are skipped. Of a repeated key the last value counts, which
+    is a setting of the session (`session.DEFAULTS`). `is_text` tells a typed text from a
     list of blocks: a list can look like text once it is a string.
     """
     event = F.try_parse_json("value")

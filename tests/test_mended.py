@@ -4,8 +4,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from galley.operators import keywords, recall, worklog
+from galley.operators import keywords, layout, recall, rules, worklog
 from galley.session import scratch_path
+from galley.sources import sinks, transcripts
 from galley.streaming import operators as streaming
 
 EVENT = "session_id string, type string, content string, is_text boolean, ts timestamp, cwd string"
@@ -41,3 +42,38 @@ def test_small_channel_videos_are_counted(spark):
 def test_automatic_notes_are_no_items(spark):
     notes = spark.createDataFrame([("2026-08-01-autohandoff-x.md", "b"), ("2026-08-01-handoff-y.md", "b")], "name string, body string")
     assert [r["item_id"] for r in worklog.work_item_header(notes).collect()] == ["2026-08-01-handoff-y.md"]
+
+
+def test_utterances_outside_all_segments_stay(spark):
+    spoken = spark.createDataFrame([(1, "d", 0.5), (2, "d", 1.5), (3, "d", 9.0), (4, "e", 0.5), (5, "d", None)], "id int, deck string, at_min double")
+    parts = [("d", "a", 0.0, 1.0, True), ("d", "b", 2.0, 3.0, False)]
+    segments = spark.createDataFrame(parts, "deck string, segment string, from_min double, to_min double, cta_allowed boolean")
+    got = {r["id"]: (r["segment"], r["cta_allowed"]) for r in layout.segments_of_deck(spoken, segments, "deck").collect()}
+    assert got == {1: ("a", True), 2: ("gap", False), 3: ("overrun", False), 4: ("overrun", False), 5: ("overrun", False)}
+
+
+def test_last_value_of_a_repeated_key_counts(spark):
+    line = '{"type": "user", "type": "other", "message": {"content": "x"}}'
+    raw = spark.createDataFrame([("s", 1, line), ("s", 2, "{broken")], "session_id string, line_no int, value string")
+    assert [r["type"] for r in transcripts.parse_events(raw).collect()] == ["other"]
+
+
+def test_a_token_of_two_tenants_is_rejected_once(spark):
+    rows = spark.createDataFrame([(1, "t", "A")], "id int, token string, tenant_claimed string")
+    claims = spark.createDataFrame([("t", "A"), ("t", "B")], "token string, tenant string")
+    accepted, rejected = rules.tenant_guard(rows, claims, "token")
+    assert accepted.count() == 0
+    assert [(r["id"], r["reason"]) for r in rejected.collect()] == [(1, "ambiguous_token")]
+
+
+def test_a_key_sent_twice_is_stored_once(spark):
+    sent = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)], "id int, v string")
+    stored = spark.createDataFrame([(1, "z")], "id int, v string")
+    got = sinks.changed_records(sent, stored, "id", ["v"]).collect()
+    assert sorted((r["id"], r["action"], r["v"]) for r in got) == [(1, "update", "a"), (2, "insert", None)]
+
+
+def test_a_repeated_item_has_one_tip(spark):
+    items = [("a", "b"), ("b", "c"), ("b", "c"), ("b", None), ("c", None)]
+    got = worklog.chain_tips(spark.createDataFrame(items, "item_id string, successor string")).collect()
+    assert sorted((r["item_id"], r["tip"]) for r in got) == [("a", "c"), ("b", "c"), ("c", "c")]

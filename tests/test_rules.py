@@ -14,10 +14,18 @@ RECORDING = [
 GOOD = {"width": 1920.0, "fps": 29.5, "kbps": 9000.0, "lufs": -14.5, "peak": -1.2}
 
 
+MEASURES = "asset string, metric string, value double, mode string, kind string"
+
+
+def rule_table(spark):
+    rows = [(*r, "video") for r in RECORDING] + [("kbps", "at_least", 64.0, 0.0, None, True, "sound")]
+    return spark.createDataFrame(rows, RULES)
+
+
 def judged(spark, values, mode=None):
-    rows = [("v", m, v, mode) for m, v in values.items()]
-    measures = spark.createDataFrame(rows, "asset string, metric string, value double, mode string")
-    return rules.judge(measures, spark.createDataFrame(RECORDING, RULES), ["asset"], "mode")
+    rows = [("v", m, v, mode, "video") for m, v in values.items()]
+    measures = spark.createDataFrame(rows, MEASURES)
+    return rules.judge(measures, rule_table(spark), ["asset"], "kind", "mode")
 
 
 @pytest.mark.parametrize(
@@ -49,14 +57,15 @@ def test_a_missing_row_is_unmeasured(spark):
 
 
 def test_nothing_measured_is_no_pass(spark):
-    empty = spark.createDataFrame([], "asset string, metric string, value double, mode string")
-    rows = rules.judge(empty, spark.createDataFrame(RECORDING, RULES), ["asset"], "mode")
+    empty = spark.createDataFrame([], MEASURES)
+    rows = rules.judge(empty, rule_table(spark), ["asset"], "kind", "mode")
     assert rules.overall(rows).first().verdict == "not_measured"
 
 
-def test_rule_table_size_is_checked(spark):
-    with pytest.raises(ValueError, match="at most"):
-        rules.bounded_rows(spark.range(11), limit=10)
+def test_rules_of_another_kind_do_not_apply(spark):
+    measures = spark.createDataFrame([("a", "kbps", 32.0, None, "sound")], MEASURES)
+    rows = rules.judge(measures, rule_table(spark), ["asset"], "kind").collect()
+    assert [(r.metric, r.status) for r in rows] == [("kbps", "fail")]
 
 
 OK = """---

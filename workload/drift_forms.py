@@ -143,16 +143,16 @@ def merge_runs(spark, sf_dir):
     r"""WITH r AS (
   SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?i)<a\s[^>]*?href="([^"]*)"', 1)) AS ref
   FROM pages),
-i AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS lang FROM pages)
+i AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS section FROM pages)
 SELECT page_id, ref, count(*) AS uses FROM r
-WHERE NOT regexp_matches(ref, '(?i)^https?:') AND substr(ref, 2, 2) NOT IN (SELECT lang FROM i) GROUP BY ALL""",
+WHERE NOT regexp_matches(ref, '(?i)^https?:') AND regexp_extract(ref, '^/*([^/?#]*)', 1) NOT IN (SELECT section FROM i) GROUP BY ALL""",
 )
 def broken_refs(spark, sf_dir):
-    """Links by the first two letters of their path against the sections that exist."""
+    """Links by the section their path begins with, against the sections that exist."""
     pages = texts(spark, sf_dir, "pages", "page_id", "url", "html")
     links = html.explode_html_elements(pages, "page_id", "html", "a")
     refs = links.select("page_id", html.attribute(F.col("attrs"), "href").alias("full"))
-    refs = refs.withColumn("ref", F.when(text.is_absolute_url(F.col("full")), F.col("full")).otherwise(F.substring("full", 2, 2)))
+    refs = refs.withColumn("ref", F.when(text.is_absolute_url(F.col("full")), F.col("full")).otherwise(F.regexp_extract("full", r"^/*([^/?#]*)", 1)))
     inventory = pages.select(F.regexp_extract("url", r"^https?://[^/]+/([^/?#]*)", 1).alias("path")).distinct()
     broken = drift.broken_refs(refs, inventory, "page_id")
     return broken.groupBy("page_id", F.col("full").alias("ref")).agg(F.count(F.lit(1)).alias("uses"))
@@ -382,7 +382,9 @@ def segment_of(spark, sf_dir):
 s AS (
   SELECT r_regionkey + 4 AS deck, 's' || k AS segment, k * 2.5 AS a, k * 2.5 + 1.75 AS b
   FROM region, range(0, 6) t(k))
-SELECT event_id, segment FROM u JOIN s ON u.deck = s.deck AND m >= a AND m < b""",
+SELECT event_id, CASE WHEN segment IS NOT NULL THEN segment
+  WHEN m < (SELECT max(b) FROM s e WHERE e.deck = u.deck) THEN 'gap' ELSE 'overrun' END AS segment
+FROM u LEFT JOIN s ON u.deck = s.deck AND m >= a AND m < b""",
 )
 def segments_of_deck(spark, sf_dir):
     utterances = table(spark, sf_dir, "events", "event_id", "event_type", "ts").select(
@@ -678,38 +680,44 @@ def width_slack(spark, sf_dir):
 # ---- rule tables ---------------------------------------------------------------
 
 RULE_ROWS = [
-    ("view", "at_least", 20.0, 0.5, None, True),
-    ("click", "at_most", 20.0, 0.0, None, False),
-    ("error", "within", 20.0, 6.0, "quality", True),
-    ("signup", "equals", 0.0, 0.0, "quality", True),
+    ("view", "at_least", 20.0, 0.5, None, True, "visitor"),
+    ("click", "at_most", 20.0, 0.0, None, False, "visitor"),
+    ("error", "within", 20.0, 6.0, "quality", True, "visitor"),
+    ("signup", "equals", 0.0, 0.0, "quality", True, "visitor"),
+    ("view", "at_least", 25.0, 0.0, None, True, "member"),
+    ("error", "at_most", 30.0, 0.0, None, False, "member"),
 ]
 
 JUDGED_SQL = """
-rules(metric, cmp, bound, tol, info_mode, mandatory) AS (VALUES
-  ('view', 'ge', 20.0, 0.5, NULL, true), ('click', 'le', 20.0, 0.0, NULL, false),
-  ('error', 'in', 20.0, 6.0, 'quality', true), ('signup', 'eq', 0.0, 0.0, 'quality', true)),
+rules(kind, metric, cmp, bound, tol, info_mode, mandatory) AS (VALUES
+  ('visitor', 'view', 'ge', 20.0, 0.5, NULL, true), ('visitor', 'click', 'le', 20.0, 0.0, NULL, false),
+  ('visitor', 'error', 'in', 20.0, 6.0, 'quality', true), ('visitor', 'signup', 'eq', 0.0, 0.0, 'quality', true),
+  ('member', 'view', 'ge', 25.0, 0.0, NULL, true), ('member', 'error', 'le', 30.0, 0.0, NULL, false)),
 m AS (
-  SELECT user_id, event_type AS metric, median(value) AS value FROM events
-  WHERE NOT (user_id % 10 = 0 AND event_type = 'view') GROUP BY ALL),
-u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN 'quality' END AS mode FROM events),
+  SELECT user_id, event_type AS metric, CASE WHEN user_id % 10 <> 0 OR event_type <> 'view' THEN median(value) END AS value
+  FROM events GROUP BY user_id, event_type),
+u AS (SELECT DISTINCT user_id, CASE WHEN user_id % 3 = 0 THEN 'quality' END AS mode,
+  CASE WHEN user_id % 2 = 0 THEN 'visitor' ELSE 'member' END AS kind FROM events),
 judged AS (
   SELECT u.user_id, r.metric, CASE WHEN info_mode = mode THEN 'info' WHEN value IS NULL THEN 'unmeasured'
     WHEN CASE cmp WHEN 'ge' THEN value >= bound - tol WHEN 'le' THEN value <= bound + tol
       WHEN 'in' THEN abs(value - bound) <= tol ELSE value = bound END THEN 'pass'
     WHEN mandatory THEN 'fail' ELSE 'warn' END AS status
-  FROM u CROSS JOIN rules r LEFT JOIN m ON m.user_id = u.user_id AND m.metric = r.metric)"""
+  FROM u JOIN rules r USING (kind) LEFT JOIN m ON m.user_id = u.user_id AND m.metric = r.metric)"""
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median values per user and event type; every tenth user has no views measured."""
     events = table(spark, sf_dir, "events", "user_id", "event_type", "value")
-    kept = (F.col("user_id") % 10 != 0) | (F.col("event_type") != "view")
-    measures = events.filter(kept).groupBy("user_id", F.col("event_type").alias("metric")).agg(
-        F.median("value").alias("value")
-    )
-    measures = measures.withColumn("mode", F.when(F.col("user_id") % 3 == 0, "quality"))
+    kept = (F.col("user_id") % 10 != 0) | (F.col("metric") != "view")
+    measures = events.groupBy("user_id", F.col("event_type").alias("metric")).agg(F.median("value").alias("value"))
+    measures = measures.withColumns({
+        "value": F.when(kept, F.col("value")),
+        "mode": F.when(F.col("user_id") % 3 == 0, "quality"),
+        "kind": F.when(F.col("user_id") % 2 == 0, "visitor").otherwise("member"),
+    })
     rule_table = spark.createDataFrame(RULE_ROWS, RULES)
-    return rules.judge(measures, rule_table, ["user_id"], "mode")
+    return rules.judge(measures, rule_table, ["user_id"], "kind", "mode")
 
 
 @query("judge", f"WITH {JUDGED_SQL} SELECT user_id, metric, status FROM judged")
