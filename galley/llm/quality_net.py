@@ -148,8 +148,10 @@ def features(column: pa.Array, table: np.ndarray) -> np.ndarray:
             out[at, base : base + DIMENSION] = mean
             out[at, base + DIMENSION : base + 2 * DIMENSION] = np.sqrt(np.maximum(square - mean * mean, 0))
         out[at, -2] = np.log1p(count[full])
-        pairs = np.unique(np.stack([words.row.astype(np.uint64), words.key]), axis=1)[0].astype(np.int64)
-        out[at, -1] = np.bincount(pairs, minlength=words.rows)[full] / count[full]
+        order = np.lexsort((words.key, words.row))
+        row, key = words.row[order], words.key[order]
+        fresh = np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]
+        out[at, -1] = np.bincount(row[fresh], minlength=words.rows)[full] / count[full]
     return out
 
 
