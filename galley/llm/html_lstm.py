@@ -8,7 +8,9 @@ pages of many layouts: menus, headers, footers, sidebars, notices, adverts, form
 reader comments around and inside the article.
 
 Nulls and edge cases: a null or empty page, and one without main text, gives an empty text.
-Marks that do not close are closed by their parents or at the end. Text outside any mark is a block.
+Marks that do not close are closed by their parents or at the end. Of the elements whose content is no text, an open head
+ends before the body or what cannot stand in a head, an open script or style at the end, and the others with their parent;
+in the body itself, and for svg anywhere, also at the next block-level mark. Text outside any mark is a block.
 Pages of any length are read whole. Repeated rows give equal results. An input column named like an added one is replaced.
 """
 
@@ -18,6 +20,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +38,9 @@ PAGES, EPOCHS, BATCH, RATE = 480, 16, 32, 0.01
 KEEP = 0.5
 
 # Elements whose content is no text, that break a block, and that have no end mark.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "iframe", "object", "head")
+SKIPPED = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head"}
+RAW = {"script", "style"}
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 BREAKS = set(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section "
@@ -82,7 +87,7 @@ def blocks(page: str | None) -> list[Block]:
 
     def take(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not any(tag in SKIPPED for tag, _ in open_tags):
             held.append(text)
             if any(tag == "a" for tag, _ in open_tags):
                 linked += len(text)
@@ -92,51 +97,143 @@ def blocks(page: str | None) -> list[Block]:
             flush()
         del open_tags[at:]
 
-    at, n = 0, len(page)
-    while at < n:
-        mark = _MARK.search(page, at)
-        if mark is None:
-            take(page[at:])
-            break
-        take(page[at : mark.start()])
-        at = mark.end()
-        tag = (mark.group(2) or "").lower()
+    marks = _marks(page)
+    ends = _skipped_ends(page, marks)
+    at, k = 0, 0
+    while k < len(marks):
+        start, end, tag, closing, rest = marks[k]
+        take(page[at:start])
+        at = end
+        k += 1
         if not tag:
             continue
-        if mark.group(1):
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == tag:
-                    close(k)
+        if closing:
+            for depth in range(len(open_tags) - 1, -1, -1):
+                if open_tags[depth][0] == tag:
+                    close(depth)
                     break
             continue
-        rest = mark.group(3)
-        if tag in SKIPPED and not rest.rstrip().endswith("/"):
-            end = _end_of(tag).search(page, at)
-            if tag in BREAKS or tag == "head":
+        if k - 1 in ends:
+            if tag == "head":
                 flush()
-            at = end.end() if end else n
+            at, k = ends[k - 1]
             continue
         if tag in BREAKS:
+            left_open = next((depth for depth, (name, _) in enumerate(open_tags) if name in SKIPPED), None)
+            if left_open is not None and (open_tags[left_open][0] == "svg" or all(name in ("html", "body") for name, _ in open_tags[:left_open])):
+                close(left_open)
             flush()
-            closes = [k for k, (name, _) in enumerate(open_tags) if tag in CLOSED_BY.get(name, ())]
-            scope = max((k for k, (name, _) in enumerate(open_tags) if name in ("table", "ul", "ol", "dl", "select", "div", "section", "article", "blockquote", "td")), default=-1)
-            inner = [k for k in closes if k > scope or open_tags[k][0] in ("td", "th") and tag in ("td", "th", "tr") and open_tags[scope][0] != "table"]
+            closes = [d for d, (name, _) in enumerate(open_tags) if tag in CLOSED_BY.get(name, ())]
+            scope = max((d for d, (name, _) in enumerate(open_tags) if name in ("table", "ul", "ol", "dl", "select", "div", "section", "article", "blockquote", "td")), default=-1)
+            inner = [d for d in closes if d > scope or open_tags[d][0] in ("td", "th") and tag in ("td", "th", "tr") and open_tags[scope][0] != "table"]
             if inner:
                 del open_tags[min(inner) :]
         if tag not in VOID and not rest.rstrip().endswith("/"):
             names = [w.lower() for m in _NAMES.finditer(rest) for w in re.split(r"[^A-Za-z0-9]+", "".join(filter(None, m.groups()))) if w]
             if _HIDDEN_MARK.search(rest):
                 names.append("hidden")
+            if tag in SKIPPED:  # left open: it ends with what it stands in
+                flush()
             open_tags.append((tag, tuple("." + w for w in names)))
+    take(page[at:])
     flush()
     return out
 
 
+Mark = tuple[int, int, str, bool, str]  # start, end, name or nothing, whether it closes, attributes
+
+
+def _marks(page: str) -> list[Mark]:
+    """The marks of a page in order; a script or style is one mark with its content.
+
+    Left open, a script or style runs to the end of the page, or of the skipped element around it.
+    """
+    out: list[Mark] = []
+    inside: Counter[str] = Counter()
+    known: dict[str, tuple[int, int]] = {}
+    n = len(page)
+
+    def next_end(tag: str, at: int) -> tuple[int, int]:
+        if known.get(tag, (-1, -1))[0] < at:
+            found = _end_of(tag).search(page, at)
+            known[tag] = found.span() if found else (n, n)
+        return known[tag]
+
+    at = 0
+    while mark := _MARK.search(page, at):
+        tag, rest = (mark.group(2) or "").lower(), mark.group(3) or ""
+        at = mark.end()
+        if tag in SKIPPED and not rest.rstrip().endswith("/"):
+            if mark.group(1):
+                inside[tag] = max(0, inside[tag] - 1)
+            elif tag in RAW:
+                low, high = next_end(tag, at)
+                around = min((next_end(name, at)[0] for name, held in inside.items() if held), default=n)
+                if around < low and (low == n or _start_of(tag).search(page, around, low)):
+                    high = around
+                at = high
+            else:
+                inside[tag] += 1
+        out.append((mark.start(), at, tag, bool(mark.group(1)), rest))
+    return out
+
+
+def _skipped_ends(page: str, marks: list[Mark]) -> dict[int, tuple[int, int]]:
+    """The place and the next mark after each skipped element, by the number of its start mark.
+
+    Elements that are left open are not in it, but for the head: it ends before the body, or before the
+    first text or mark that cannot stand in a head.
+    """
+    ends: dict[int, tuple[int, int]] = {}
+    begun: dict[str, list[int]] = {}
+    heads: list[int] = []
+    for k, (_, end, tag, closing, rest) in enumerate(marks):
+        if tag == "body" and not closing:
+            begun.pop("head", None)  # an end mark after the body is not that of the head
+        if tag not in SKIPPED or not closing and rest.rstrip().endswith("/"):
+            if tag in SKIPPED:
+                ends[k] = (end, k + 1)
+        elif tag in RAW:
+            if not closing:
+                ends[k] = (end, k + 1)
+        elif closing:
+            if begun.get(tag):
+                ends[begun[tag].pop()] = (end, k + 1)
+        else:
+            begun.setdefault(tag, []).append(k)
+            if tag == "head":
+                heads.append(k)
+    for head in heads:
+        if head in ends:
+            continue
+        k, at, inner = head + 1, marks[head][1], ""
+        while k < len(marks):
+            start, end, tag, closing, _ = marks[k]
+            if not inner and page[at:start].strip() or tag and tag not in IN_HEAD:
+                break
+            if not closing and k in ends:
+                at, k = ends[k]
+                continue
+            if closing:
+                inner = "" if tag == inner else inner
+            elif tag in ("title", "noscript", "noframes", "template"):
+                inner = inner or tag
+            at, k = end, k + 1
+        # Blank text before the mark that ends the head, and text that does, are read on.
+        ends[head] = (at if not inner else marks[k][0] if k < len(marks) else len(page), k)
+    return ends
+
+
 @lru_cache(maxsize=64)
 def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}\s*>", re.IGNORECASE)
 
 
+@lru_cache(maxsize=64)
+def _start_of(tag: str) -> re.Pattern:
+    return re.compile(rf"<{tag}(?![a-zA-Z0-9:-])", re.IGNORECASE)
+
+
 @lru_cache(maxsize=50_000)
 def _hashed(name: str, size: int) -> np.ndarray:
     """A sparse sign vector of a name."""

@@ -332,6 +332,22 @@ def test_blocks():
     assert [b[0] for b in html_lstm.blocks(page)] == ["Home", "one two&", "three", "four"]
 
 
+def test_blocks_after_skipped_elements_left_open():
+    texts = lambda page: [b[0] for b in html_lstm.blocks(page)]
+    article = "<article><p>one<p>two</article>"
+    for head in ("<title>t</title>", "<title>t", "<noscript><link>", "<script>x = '</head>'</script>", "<style>x</style>\n<meta a=b>"):
+        assert texts(f"<html><head>{head}<body>{article}</html>") == ["one", "two"], head
+    assert texts(f"<head><title>t</title>{article}") == ["one", "two"]
+    assert texts("<head><title>t</title> plain text") == ["plain text"]
+    for tag in ("noscript", "template", "svg", "object", "iframe"):
+        assert texts(f"<div>a<{tag}>no</div>{article}<{tag}>no</{tag}>") == ["a", "one", "two"], tag
+        assert texts(f"<ul><li>a<{tag}>no<li>b</ul>{article}") == ["a", "b", "one", "two"], tag
+        assert texts(f"<body><{tag}>no{article}</body>") == ["one", "two"], tag
+        assert texts(f"<p>a<{tag}><style>no</{tag}>b</p>{article}") == ["ab", "one", "two"], tag
+    for tag in ("script", "style"):
+        assert texts(f"<p>a</p><{tag}>no{article}") == ["a"], tag
+
+
 def test_extraction_on_the_tables(spark):
     rows = html_lstm.op7_html_lstm(spark, TABLES).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{TABLES}/pages.parquet").collect()}
