@@ -1,10 +1,11 @@
 """Personal data: fixed detectors, and a semi-Markov conditional random field that adds spans.
 
-The fixed detectors find email, ip, card and phone in whole texts. The field reads
-the stretches around digits and address marks: candidate segments of bounded
-length are scored with features of the whole span (digit groups, checksum, shape,
-neighbours), and a forward-backward pass over all segmentations chooses boundaries
-and kinds together. A span is added when its posterior is high and it overlaps no
+The fixed detectors find email, ip, card and phone in whole texts. The field reads the
+stretches that hold a candidate, a segment of bounded length with four digits or an
+address mark in any case, so it finds what it would find in the whole text. Candidates
+are scored with features of the whole span (digit groups, checksum, shape, neighbours),
+and a forward-backward pass over all segmentations chooses boundaries and kinds
+together. A span is added when its posterior is high and it overlaps no
 fixed one, so forms such as `name (at) host (dot) org`, `(743) 555-3824` or
 `10[.]1[.]2[.]3` are found too. The field is trained on seeded, generated examples.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import sys
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -89,16 +91,22 @@ def base_spans(text: str | None) -> list[Span]:
 # ---- the semi-Markov field
 
 MAX_TOKENS = 23  # longest entity
-AROUND = 24  # characters on both sides of an anchor
 ADD_AT = 0.95
+LEAST_ODDS = math.log(ADD_AT / (1 - ADD_AT)) - 1e-6
 EXAMPLES, ROUNDS, RATE, DECAY = 300, 7, 0.4, 1e-4
 
-_ANCHOR = re.compile(r"[0-9][0-9]|@")
-_MARKED = ("(at)", "[at]", "{at}", "(dot)", "[dot]", "{dot}", " AT ", " DOT ")
-_WORDY_ANCHOR = re.compile(r"[0-9][0-9]|@|[\[({](?:at|dot)[\])}]| AT | DOT ")
+# Where a candidate may be: an at sign, the word at in any case, or four digits without a letter between them.
+_AT = re.compile(r"@|[aA][tT](?![^\W\d_])(?<![^\W\d_]..)", re.DOTALL)
+_FOUR = re.compile(r"[0-9](?:[^A-Za-z\n,;:\"'0-9]*[0-9]){3}[0-9]*+")
+# Texts with other numerals; a token such as x² has letters but is no word, so theirs passes over letters.
+_NUMERALS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_ANY = "0-9" + "".join(sorted(c for c in _NUMERALS if c.isdigit()))
+_FOUR_OF_ANY = re.compile(rf"[{_ANY}](?:[^\n,;:\"'{_ANY}]*[{_ANY}]){{3}}[{_ANY}]*+")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 _JOINERS = set(" .-()[]{}+@_%/")
 _AT_WORDS, _DOT_WORDS = {"at"}, {"dot"}
+# Up to MAX_TOKENS tokens that may stand in a candidate; the same pattern reads a reversed text.
+_USABLE = re.compile(rf"(?:[^\W\d_]++|[0-9]++|\d|(?!\n)\s(?!\s)|[.()\[\]{{}}+@_%/-]){{0,{MAX_TOKENS}}}+")
 
 
 def _class_of(token: str) -> str:
@@ -137,7 +145,7 @@ def span_features(tokens: list[str], i: int, j: int) -> list[str]:
         f"last:{_class_of(part[-1])}",
         f"at:{at}/dots:{min(dots, 4)}/words:{bool(words)}",
         f"luhn:{13 <= len(digits) <= 19 and luhn(digits)}/{_bucket(len(digits))}/{bool(words)}",
-        f"bytes:{len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)}/{min(dots, 4)}/{at}",
+        f"bytes:{len(groups) == 4 and all(len(g) <= 3 and g.isdecimal() and int(g) <= 255 for g in groups)}/{min(dots, 4)}/{at}",
         f"tail:{at and part[-1].isalpha() and 2 <= len(part[-1]) <= 6}/{bool(dots)}",
         f"before:{_class_of(before)}",
         f"after:{_class_of(after)}",
@@ -388,51 +396,106 @@ def trained(seed: int = 1) -> SemiCrf:
 class Finder:
     """Adds the field's spans to the fixed ones; equal stretches are scored once while they are remembered."""
 
-    REMEMBERED = 20_000
+    REMEMBERED, LONGEST = 20_000, 1_000
 
     def __init__(self, model: SemiCrf):
         self.model = model
         self.memory: dict[str, list[tuple[int, int, int, float]]] = {}
+        self.best: dict[str, float] = {}
+        self.single: dict[str, float] = {}
 
     def stretches(self, text: str) -> list[tuple[int, int]]:
-        out: list[list[int]] = []
-        anchor = _WORDY_ANCHOR if any(mark in text for mark in _MARKED) else _ANCHOR
-        for m in anchor.finditer(text):
-            low, high = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-            if out and low <= out[-1][1]:
-                out[-1][1] = high
+        """The parts of a text that hold every candidate, each with a token around it."""
+        out: list[tuple[int, int]] = []
+        four = _FOUR if text.isascii() or _NUMERALS.isdisjoint(text) else _FOUR_OF_ANY
+        for low, high in sorted([m.span() for m in _AT.finditer(text)] + [m.span() for m in four.finditer(text)]):
+            inside = bool(out) and low < out[-1][1]
+            low, high = low if inside else grown_left(text, low), grown_right(text, high)
+            if out and low < out[-1][1]:
+                out[-1] = (out[-1][0], max(high, out[-1][1]))
             else:
-                out.append([low, high])
-        # A stretch does not begin or end inside a run of letters or digits.
-        bounds = []
-        for low, high in out:
-            while low > 0 and text[low - 1].isalnum() and text[low].isalnum() and low > bounds_end(bounds):
-                low -= 1
-            while high < len(text) and text[high - 1].isalnum() and text[high].isalnum():
-                high += 1
-            if bounds and low <= bounds[-1][1]:
-                bounds[-1] = (bounds[-1][0], max(high, bounds[-1][1]))
-            else:
-                bounds.append((low, high))
-        return bounds
+                out.append((low, high))
+        return out
 
     def scored(self, stretch: str) -> list[tuple[int, int, int, float]]:
         known = self.memory.get(stretch)
         if known is None:
             tokens, starts = tokenize(stretch)
             known = []
-            if candidates(tokens):
-                edges = self.model.lattice(tokens)
-                probability = self.model.posteriors(tokens, edges)
+            for low, high in self.open_parts(tokens):
+                first = max(0, low - 1)
+                part = tokens[first : high + 1]
+                edges = self.model.lattice(part)
+                probability = self.model.posteriors(part, edges)
                 for (i, j, score, _), p in zip(edges, probability):
                     kind = int(p.argmax())
                     if kind and p[kind] >= ADD_AT:
-                        known.append((kind - 1, starts[i], starts[j], float(p[kind])))
-            if len(self.memory) >= self.REMEMBERED:
-                self.memory.clear()
-            self.memory[stretch] = known
+                        known.append((kind - 1, starts[first + i], starts[first + j], float(p[kind])))
+            if len(stretch) <= self.LONGEST:
+                if len(self.memory) >= self.REMEMBERED:
+                    self.memory.clear()
+                self.memory[stretch] = known
         return known
 
+    def open_parts(self, tokens: list[str]) -> list[tuple[int, int]]:
+        """The parts, each of candidates that overlap, in which one may reach ADD_AT.
+
+        The sum over all segmentations holds a candidate's own and the same with its tokens outside
+        all entities, so its posterior is at most w / (w + outside). Labels do not act on one
+        another here, so parts without a common candidate are independent.
+        """
+        codes = "".join(map(_code, tokens))
+        outside = [0.0]
+        for t in tokens:
+            c = _class_of(t)
+            if c not in self.single:
+                k = self.model.index.get("one:" + c)
+                self.single[c] = 0.0 if k is None else float(self.model.weights[k, 0])
+            outside.append(outside[-1] + self.single[c])
+        if "9" not in codes and "?" not in codes and not self.may_address(tokens, codes, outside):
+            return []
+        parts: list[list] = []
+        for i, j in candidates(tokens):
+            if parts and i < parts[-1][1]:
+                parts[-1][1] = max(j, parts[-1][1])
+            else:
+                parts.append([i, j, False])
+            if not parts[-1][2] and self.best_of(tokens, codes, i, j) - (outside[j] - outside[i]) >= LEAST_ODDS:
+                parts[-1][2] = True
+        return [(i, j) for i, j, may in parts if may]
+
+    def may_address(self, tokens: list[str], codes: str, outside: list[float]) -> bool:
+        """Whether a candidate of a stretch without digits may reach ADD_AT."""
+        for m in re.finditer("[@t]", codes):
+            at = m.start()
+            low = max(codes.rfind("\n", 0, at) + 1, at + 1 - MAX_TOKENS)
+            high = codes.find("\n", at)
+            begins = [i for i in range(low, at + 1) if codes[i] in "atd+("]
+            ends = [j for j in range(at + 1, min(len(codes) if high < 0 else high, at + MAX_TOKENS) + 1) if codes[j - 1] in "atd"]
+            for i in begins:
+                least = LEAST_ODDS - outside[i]
+                for j in ends:
+                    if j > i + MAX_TOKENS:
+                        break
+                    if self.best_of(tokens, codes, i, j) >= least + outside[j]:
+                        return True
+        return False
+
+    def best_of(self, tokens: list[str], codes: str, i: int, j: int) -> float:
+        """The highest score of a candidate over the kinds, remembered by all that its features know of it."""
+        last = tokens[j - 1]
+        key = (codes[i - 1] if i else "^") + codes[i:j] + (codes[j] if j < len(codes) else "$") + ("s" if 2 <= len(last) <= 6 else "")
+        whole = not ("9" in key or "?" in key or "\n" in key)
+        best = self.best.get(key) if whole else None
+        if best is None:
+            ids = [k for k in map(self.model.index.get, span_features(tokens, i, j)) if k is not None]
+            best = float(self.model.weights[ids].sum(0)[1:].max())
+            if whole:
+                if len(self.best) >= self.REMEMBERED:
+                    self.best.clear()
+                self.best[key] = best
+        return best
+
     def spans(self, text: str | None) -> tuple[list[Span], list[tuple[int, int, int, float]]]:
         """Fixed spans, and the added ones with their posterior."""
         base = base_spans(text)
@@ -446,8 +509,39 @@ class Finder:
         return base, added
 
 
-def bounds_end(bounds: list[tuple[int, int]]) -> int:
-    return bounds[-1][1] if bounds else 0
+def _code(token: str) -> str:
+    """A token as one character: words, the address words, digits, usable marks, others without a form, and what ends a candidate."""
+    if token.isalpha():
+        word = token.lower()
+        return "t" if word in _AT_WORDS else "d" if word in _DOT_WORDS else "a"
+    if token.isdigit():
+        return "9"
+    if token in _JOINERS:
+        return token
+    if token.isalnum():
+        return "?"
+    return " " if token.isspace() and "\n" not in token and len(token) == 1 else "\n"
+
+
+def grown_right(text: str, at: int) -> int:
+    """The end of what a candidate from before a place can reach, with the token after it."""
+    high = _USABLE.match(text, at).end()
+    after = _TOKEN.match(text, high)
+    return after.end() if after else high
+
+
+def grown_left(text: str, at: int) -> int:
+    """The begin of what a candidate to beyond a place can reach, with the token before it."""
+    size = 256
+    while True:
+        low = max(0, at - size)
+        back = text[low:at][::-1]
+        used = _USABLE.match(back).end()
+        before = _TOKEN.match(back, used)
+        used = before.end() if before else used
+        if used < len(back) or low == 0:
+            return at - used
+        size *= 4
 
 
 FIELDS = [("spans", "array<struct<kind:string,start:int,end:int,score:double>>")]

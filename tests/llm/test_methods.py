@@ -87,6 +87,30 @@ def test_field_finds_forms_beyond_the_patterns():
     assert found / (found + missed) > 0.8 and wrong <= 4
 
 
+def test_stretches_lose_no_candidate():
+    model = pii_semicrf.trained()
+    finder = pii_semicrf.Finder(model)
+    rng = random.Random(5)
+    parts = ["at", "AT", "At", "@", "[at]", "(dot)", "Dot", " ", " ", "  ", "\n", "8", "12", "[.]", ".", "-", "name", "host", "x²", "²", "é", "中", "٣", "4111", "+", ",", "_", "/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for text in [*texts, *(text for text, _ in pii_semicrf.examples(100, seed=5))]:
+        tokens, starts = pii_semicrf.tokenize(text)
+        wanted = {(starts[i], starts[j]) for i, j in pii_semicrf.candidates(tokens)}
+        got, added = set(), []
+        for low, high in finder.stretches(text):
+            part, at = pii_semicrf.tokenize(text[low:high])
+            got |= {(low + at[i], low + at[j]) for i, j in pii_semicrf.candidates(part)}
+            added += [(kind, low + a, low + b) for kind, a, b, _ in finder.scored(text[low:high])]
+        assert got == wanted, text
+        edges = model.lattice(tokens)
+        sure = [(int(p.argmax()) - 1, starts[i], starts[j]) for (i, j, _, _), p in zip(edges, model.posteriors(tokens, edges)) if p.argmax() and p.max() >= pii_semicrf.ADD_AT]
+        assert added == sure, text
+    assert pii_semicrf.masked("name [AT] host [DOT] com", finder) == "<EMAIL>"
+    assert pii_semicrf.masked("dns is 8[.]8[.]8[.]8 here", finder) == "dns is <IP> here"
+    long = "firstname.middlename.lastname-department (at) example (dot) org"
+    assert finder.stretches(long) == [(0, len(long))]
+
+
 def test_masking():
     finder = pii_semicrf.Finder(pii_semicrf.trained())
     assert pii_semicrf.masked("write to a.b@c.org or 10.0.0.1 now", finder) == "write to <EMAIL> or <IP> now"
