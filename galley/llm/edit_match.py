@@ -10,7 +10,8 @@ Items travel to the tasks in blocks of bounded size; more items mean more blocks
 and each block is searched in every text.
 
 Nulls and edge cases: null or empty texts and items match nothing. Items shorter than
-`MIN_CHARS` after folding say too little to be evidence and are not searched. Of several
+`MIN_CHARS` after folding are met only without an edit and on word bounds. Items without
+an id are searched like others and give rows without one. Of several
 occurrences in a text the one with the least distance, then the leftmost, is given.
 Repeated texts give equal rows each; repeated items (same id and text) count once.
 """
@@ -79,11 +80,18 @@ def myers(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int, i
     return best
 
 
+def on_word_bounds(text: str, start: int, end: int) -> bool:
+    """Whether no word or number goes on beyond either end of a place."""
+    return not (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) and not (
+        end < len(text) and text[end - 1].isalnum() and text[end].isalnum()
+    )
+
+
 class Matcher:
     """Finds the items of a block in folded texts."""
 
     def __init__(self, items: list[Item], rate: float):
-        self.items = [(key, text, int(len(text) * rate)) for key, text in items]
+        self.items = [(key, text, int(len(text) * rate) if len(text) >= MIN_CHARS else 0) for key, text in items]
         self.masks = [pattern_masks(t) for _, t, _ in self.items]
         self.back = [pattern_masks(t[::-1]) for _, t, _ in self.items]
         where: dict[str, list[tuple[int, int]]] = {}
@@ -99,9 +107,14 @@ class Matcher:
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, distance, start, end) of every item met in a folded text."""
         stretches: dict[int, list[list[int]]] = {}
+        short: dict[int, int] = {}
         for last, places in self.automaton.iter(text):
             for i, offset in places:
                 _, item, budget = self.items[i]
+                if len(item) < MIN_CHARS:
+                    if i not in short and on_word_bounds(text, last + 1 - len(item), last + 1):
+                        short[i] = last + 1
+                    continue
                 low = max(0, last + 1 - offset - budget)
                 high = min(len(text), last + 1 - offset + len(item) + budget)
                 held = stretches.setdefault(i, [])
@@ -110,6 +123,8 @@ class Matcher:
                     held[-1][1] = max(held[-1][1], high)
                 else:
                     held.append([low, high])
+        for i, end in short.items():
+            yield i, 0, end - len(self.items[i][1]), end
         for i, held in stretches.items():
             _, item, budget = self.items[i]
             best = None
@@ -135,7 +150,7 @@ def matcher_of(items: list[Item], rate: float, token: str) -> Matcher:
     return _matchers[token]
 
 
-def _search(items: list[Item], rate: float, token: str):
+def _search(items: list[Item], rate: float, token: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = matcher_of(items, rate, token)
         for batch in batches:
@@ -146,7 +161,7 @@ def _search(items: list[Item], rate: float, token: str):
                     found.append((matcher.items[i][0], distance, start, end))
             own = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             columns = list(zip(*found)) or [[], [], [], []]
-            kinds = [pa.infer_type([items[0][0]]), pa.int32(), pa.int64(), pa.int64()]
+            kinds = [kind, pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [own, *[pa.array(list(c), k) for c, k in zip(columns, kinds)]],
                 names=["doc_id", "item_id", "distance", "start", "end"],
@@ -161,7 +176,7 @@ def item_blocks(items: DataFrame) -> Iterator[list[Item]]:
     chars = 0
     for key, text in items.dropDuplicates().toLocalIterator():
         text = fold(text)
-        if key is None or len(text) < MIN_CHARS:
+        if not text:
             continue
         if block and (len(block) >= BLOCK_ITEMS or chars + len(text) > BLOCK_CHARS):
             yield block
@@ -179,15 +194,18 @@ def find_leaks(
 
     `items` has item_id and text; start and end are places in the folded text.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     items = items.select("item_id", "text")
     item_type = items.schema["item_id"].dataType.simpleString()
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, start long, end long"
     out = None
     for block in item_blocks(items):
         token = str(hash(tuple(block)))
-        part = docs.mapInArrow(_search(block, rate, token), schema)
+        part = docs.mapInArrow(_search(block, rate, token, item_kind), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

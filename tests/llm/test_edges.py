@@ -100,6 +100,14 @@ def test_match_edges(docs, nothing, spark):
     assert edit_match.without_leaks(docs, wanted).count() == len(ROWS) - 2
 
 
+def test_short_items_and_items_without_id(docs, spark):
+    wanted = spark.createDataFrame([(None, GERMAN), (1, "Lazy  DOG"), (2, "azy dog"), (3, "")], "item_id int, text string")
+    found = edit_match.find_leaks(docs, wanted).collect()
+    assert sorted((r["doc_id"], str(r["item_id"]), r["distance"]) for r in found) == [(1, "1", 0), (4, "1", 0), (5, "None", 0), (5, "None", 0)]
+    assert all((ROWS[0][1] if r["doc_id"] == 1 else LONG)[r["start"] : r["end"]] == "lazy dog" for r in found if r["item_id"])
+    assert sorted(str(r["doc_id"]) for r in edit_match.without_leaks(docs, wanted).collect()) == ["2", "3", "7", "8", "9", "None"]
+
+
 def test_passage_edges(docs, nothing, spark):
     out = passage_dedup.remove_repeats(docs, 3).collect()
     assert len(out) == len(ROWS) and all(r["n_removed"] == 0 for r in out)  # equal ids do not cut each other
