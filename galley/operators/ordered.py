@@ -16,7 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galley.session import scratch_path
+
 _BLK = "_block"
+_ROW_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in its low bits
 
 
 def line_block(order: str, rows: int = 65_536) -> Column:
@@ -99,6 +102,44 @@ def numbered(
     )
 
 
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rows range-partitioned and sorted along (group, order), with `_part` and `_at`, written once and read back.
+
+    Spark samples the cut points, so a partition holds about equally many rows
+    whatever the groups are, and rows of equal rank are dealt by the later order
+    columns. Partitions follow each other along the order; `_at` counts the rows of one.
+    """
+    spark = df.sparkSession
+    keys = [*group, *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = placed.withColumn("_part", F.shiftrightunsigned("_at", _ROW_BITS))
+    path = scratch_path(spark, "ranges")
+    placed.write.parquet(path)
+    return spark.read.schema(placed.schema).parquet(path)
+
+
+def range_numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], out: str) -> DataFrame:
+    """Row number from 1 within each group along an order that is unique in the group.
+
+    Each range partition numbers its own rows; a prefix sum over (group, partition)
+    counts carries on. A group of any size, also one of equal ranks, spreads over
+    as many tasks as its rows fill. Without a group the whole table is numbered.
+    """
+    placed = in_ranges(df, group, order)
+    keys = [*group, "_part"]
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    summary = (
+        placed.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+        .select(*keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    )
+    same = F.col("r._part") == F.col("s._part")
+    for name in group:
+        same = same & F.col(f"r.{name}").eqNullSafe(F.col(f"s.{name}"))
+    numbers = placed.alias("r").join(summary.alias("s"), same).select("r.*", (F.col("_at") + F.col("_shift")).alias(out))
+    return numbers.drop("_at", "_part")
+
+
 def next_value(
     df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, block: Column
 ) -> DataFrame:
