@@ -10,6 +10,7 @@ from galley.llm import (
     lattice_lm,
     ngram_join,
     passage_dedup,
+    phrase_tiles,
     pii_semicrf,
     quality_net,
     vector_dedup,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_language_crf": language_crf.op8_language_crf,
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_quality_net": quality_net.op10_quality_net,
+    "op11_phrase_tiles": phrase_tiles.op11_phrase_tiles,
 }
 
 SQL = {
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op9_vector_dedup": vector_dedup.OP9_SQL,
+    "op11_phrase_tiles": phrase_tiles.OP11_SQL,
 }
