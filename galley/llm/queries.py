@@ -13,6 +13,8 @@ from galley.llm import (
     phrase_tiles,
     pii_semicrf,
     quality_net,
+    source_mix,
+    vector_codes,
     vector_dedup,
 )
 
@@ -28,10 +30,14 @@ QUERIES = {
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_quality_net": quality_net.op10_quality_net,
     "op11_phrase_tiles": phrase_tiles.op11_phrase_tiles,
+    "op12_source_mix": source_mix.op12_source_mix,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL = {
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op9_vector_dedup": vector_dedup.OP9_SQL,
     "op11_phrase_tiles": phrase_tiles.OP11_SQL,
+    "op12_source_mix": source_mix.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
