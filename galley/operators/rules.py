@@ -14,19 +14,20 @@ from galley.schema import require
 def judge(
     measures: DataFrame, rules: DataFrame, key: Sequence[str], kind: str, mode: str | None = None
 ) -> DataFrame:
-    """One row per key and rule of its kind: (key, metric, value, status).
-
-    `kind` names the column of both tables that tells which rules apply to a key.
-    A missing row and a NULL value are both `unmeasured`, never a pass. Under
-    its mode a rule is only `info`; an advisory rule warns instead of failing.
+    """One row per key and rule of each of its kinds: (key, kind, metric, value, status).
+
+    `kind` names the column of both tables that tells which rules apply to a key;
+    a key measured under several kinds answers to the rules of all of them, each
+    with the values of its own kind. A missing row and a NULL value are both
+    `unmeasured`, never a pass; so is a key under a kind without rules or without a
+    kind, with one row that has no metric. Under its mode a rule is only `info`;
+    an advisory rule warns instead of failing.
     """
     require(measures, *key, kind, "metric", "value", *([mode] if mode else []))
     require(rules, kind, "metric", "comparator", "bound", "tolerance", "info_mode", "mandatory")
-    of_key = measures.groupBy(*key).agg(
-        F.max(kind).alias(kind), (F.max(mode) if mode else F.lit(None).cast("string")).alias("_mode")
-    )
-    expected = of_key.join(rules, kind)
-    joined = expected.join(measures.select(*key, "metric", "value"), [*key, "metric"], "left")
+    of_key = measures.groupBy(*key, kind).agg((F.max(mode) if mode else F.lit(None).cast("string")).alias("_mode"))
+    expected = of_key.join(rules, kind, "left")
+    joined = expected.join(measures.select(*key, kind, "metric", "value"), [*key, kind, "metric"], "left")
     value, bound, slack = F.col("value"), F.col("bound"), F.col("tolerance")
     holds = (
         F.when(F.col("comparator") == "equals", value == bound)
@@ -41,7 +42,7 @@ def judge(
         .when(F.col("mandatory"), "fail")
         .otherwise("warn")
     )
-    return joined.select(*key, "metric", "value", status.alias("status"))
+    return joined.select(*key, kind, "metric", "value", status.alias("status"))
 
 
 def _verdict_columns() -> list[Column]:

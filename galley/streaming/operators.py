@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,33 +20,60 @@ def keyed_prompts(events: DataFrame) -> DataFrame:
 def load_prompts(events: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Load a stream of events once, in any order of their times.
 
-    No watermark: an event is never too late. Repeats inside a batch meet under
-    their key; later ones, and batches delivered again, are stopped by the keys
-    already in the store.
+    No watermark: an event is never too late. Of repeats inside a batch the first
+    by time counts, whatever their order in the files; later ones, and batches
+    delivered again, are stopped by the keys already in the store.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        sinks.insert_new(batch.dropDuplicates(["turn_uuid"]), store, "turn_uuid")
+        first = prompts.first_occurrence(batch, ["turn_uuid"], ["ts", *[c for c in batch.columns if c not in ("turn_uuid", "ts")]])
+        sinks.insert_new(first, store, "turn_uuid")
 
     return run.for_each_batch(keyed_prompts(events), load, checkpoint)
 
 
-def trailing_count(
-    posts: DataFrame, keyword: str, span: str = "30 days", slide: str = "1 day", delay: str = "1 day"
-) -> DataFrame:
-    """(keyword, window_start, window_end, posts), updated as posts arrive."""
+def count_posts(posts: DataFrame, keyword: str, store: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Counts per keyword and day, each batch in its own folder, and an account of late rows beside them.
+
+    A row is late when it is older than the newest row of all earlier batches by
+    more than the delay. Late rows are counted, not added, so of each batch
+    arrived = counted + late. Nothing is kept but one row per keyword, day and
+    batch; a batch that is delivered again sees the same earlier accounts and
+    replaces both its folders.
+    """
     require(posts, keyword, "ts")
-    return (
-        posts.withWatermark("ts", delay)
-        .groupBy(keyword, F.window("ts", span, slide).alias("_w"))
-        .agg(F.count(F.lit(1)).alias("posts"))
-        .select(keyword, F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), "posts")
-    )
 
+    def load(batch: DataFrame, number: int) -> None:
+        before = run.read_accounts(batch.sparkSession, store).filter(F.col("batch") < number)
+        edge = before.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("edge")).first()["edge"]
+        late = F.coalesce(F.col("ts") < F.lit(edge).cast("timestamp"), F.lit(False))
+        with_account = run.accounted(batch, store, number, late, "ts")
+        daily = with_account.rows.filter(~late).groupBy(keyword, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("posts"))
+        daily.write.mode("overwrite").parquet(f"{store}/days/batch={number}")
+        with_account.write()
+
+    return run.for_each_batch(posts.select(keyword, "ts"), load, checkpoint)
+
+
+def posts_per_day(spark: SparkSession, store: str, keyword: str, kind: str) -> DataFrame:
+    """(keyword, day, posts) of all batches so far; `kind` is the type of the keyword."""
+    stored = spark.read.schema(f"`{keyword}` {kind}, day date, posts long, batch long").parquet(f"{store}/days")
+    return stored.groupBy(keyword, "day").agg(F.sum("posts").alias("posts"))
+
+
+def trailing_count(daily: DataFrame, keyword: str, days: int = 30) -> DataFrame:
+    """(keyword, window_start, window_end, posts) of every window of `days` days, a day apart, from counts per day.
 
-def late_posts(posts: DataFrame, watermark: Column) -> DataFrame:
-    """Posts older than the watermark, to count what a stream dropped."""
-    return require(posts, "ts").filter(F.col("ts") < watermark)
+    Only the counted days are spread over the windows that hold them, not the posts.
+    """
+    require(daily, keyword, "day", "posts")
+    starts = F.explode(F.sequence(F.date_sub("day", days - 1), F.col("day"))).alias("window_start")
+    return (
+        daily.select(keyword, starts, "posts")
+        .groupBy(keyword, "window_start")
+        .agg(F.sum("posts").alias("posts"))
+        .select(keyword, "window_start", F.date_add("window_start", days).alias("window_end"), "posts")
+    )
 
 
 def daily_digest(rows: DataFrame, by: str, delay: str = "1 hour") -> DataFrame:
@@ -79,6 +106,36 @@ def idle_items(activity: DataFrame, item: str, silence: str = "3 days", delay: s
     )
 
 
+def interrupted_sessions(
+    activity: DataFrame, saves: DataFrame, by: str, gap_seconds: int = 1_800, delay: str = "1 hour"
+) -> DataFrame:
+    """(by, started, ended, prompts): sessions with prompts and no save, told once when they are over.
+
+    Prompts and saves are tagged and share one session window, so a save extends
+    the session it belongs to and no stream is joined with the other. Each side
+    has its own watermark and the slower one closes a session: as long as saves
+    may still come, no session counts as interrupted. A pause as long as the gap
+    ends a session, so the window is a microsecond shorter than the gap.
+    """
+    require(activity, by, "ts")
+    require(saves, by, "ts")
+    prompted = activity.select(by, "ts", F.lit(True).alias("_p")).withWatermark("ts", delay)
+    saved = saves.select(by, "ts", F.lit(False).alias("_p")).withWatermark("ts", delay)
+    window = F.session_window("ts", f"{gap_seconds * 1_000_000 - 1} microseconds")
+    return (
+        prompted.unionByName(saved)
+        .groupBy(by, window.alias("_w"))
+        .agg(
+            F.min("ts").alias("started"),
+            F.max("ts").alias("ended"),
+            F.count_if("_p").alias("prompts"),
+            F.count_if(~F.col("_p")).alias("_saves"),
+        )
+        .filter((F.col("prompts") > 0) & (F.col("_saves") == 0))
+        .select(by, "started", "ended", "prompts")
+    )
+
+
 def route(
     texts: DataFrame, objects: DataFrame, key: str, body: str, mapped: str, review: str, checkpoint: str
 ) -> StreamingQuery:

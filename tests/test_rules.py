@@ -68,6 +68,17 @@ def test_rules_of_another_kind_do_not_apply(spark):
     assert [(r.metric, r.status) for r in rows] == [("kbps", "fail")]
 
 
+def test_each_kind_of_a_key_has_its_own_rules(spark):
+    """A failing rule of one kind, a kind without rules and a missing kind all stay visible."""
+    rows = [("a", "kbps", 32.0, None, "sound"), ("a", "fps", 30.0, None, "video"), ("b", "fps", 30.0, None, "else"), ("c", "fps", 30.0, None, None)]
+    judged_rows = rules.judge(spark.createDataFrame(rows, MEASURES), rule_table(spark), ["asset"], "kind")
+    got = {(r.asset, r.kind, r.metric): r.status for r in judged_rows.collect()}
+    assert got["a", "sound", "kbps"] == "fail" and got["a", "video", "kbps"] == "unmeasured" and got["a", "video", "fps"] == "pass"
+    assert got["b", "else", None] == got["c", None, None] == "unmeasured"
+    found = {r.asset: r.verdict for r in rules.verdict(judged_rows, ["asset"]).collect()}
+    assert found == {"a": "fail", "b": "pass_with_warnings", "c": "pass_with_warnings"}
+
+
 OK = """---
 channel: 채널
 positioning: 저는 A가 아닙니다. B입니다.

@@ -147,8 +147,7 @@ def channel_flip(spark, sf_dir):
     """
 WITH v AS (
   SELECT user_id, count(*) FILTER (event_type = 'view') AS b,
-    count(*) FILTER (event_type = 'click' AND value > 20) AS p FROM events
-    WHERE event_type = 'view' OR (event_type = 'click' AND value > 20) GROUP BY 1)
+    count(*) FILTER (event_type = 'click') AS p FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
 SELECT user_id AS keyword,
   CASE WHEN b = 0 THEN 'unknown' WHEN p = 0 THEN 'unknown' WHEN p / b >= 0.30 THEN 'genuine'
     WHEN p / b <= 0.10 THEN 'discard' ELSE 'review' END AS verdict
@@ -156,10 +155,8 @@ FROM v
 """,
 )
 def residual_ratio(spark, sf_dir):
-    """Views are the home market, expensive clicks the probe market."""
-    events = table(spark, sf_dir, "events", "user_id", "event_type", "value")
-    kept = events.filter((F.col("event_type") == "view") | (F.col("value") > 20))
-    rows = kept.select(
+    """Views are the home market, clicks the probe market."""
+    rows = table(spark, sf_dir, "events", "user_id", "event_type").select(
         F.col("user_id").alias("keyword"), F.col("event_type").alias("market"), F.lit(1).alias("volume")
     )
     return keywords.residual_ratio(rows, "view", "click").select("keyword", "verdict")
@@ -205,8 +202,8 @@ def audience_label(spark, sf_dir):
     videos = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("keyword"), F.col("o_custkey").alias("channel")
     )
-    labels = table(spark, sf_dir, "customer").filter(F.col("c_custkey") % 4 != 0).select(
-        F.col("c_custkey").alias("channel"), F.col("c_mktsegment").alias("audience")
+    labels = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("channel"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_mktsegment")).alias("audience")
     )
     return keywords.audience_label(videos, labels).withColumn("share", F.round("share", 6))
 

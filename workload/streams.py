@@ -10,7 +10,7 @@ from galley.schema import PROMPT
 from galley.session import scratch_path
 from galley.streaming import operators as streaming
 from galley.streaming import run
-from workload import prompt_log, recall_routing
+from workload import prompt_log, recall_routing, work_log
 from workload import sqltext as Q
 from workload.registry import query, table
 
@@ -60,8 +60,10 @@ SELECT user_id, strftime(start, '%Y-%m-%d') AS window_start, count(*) AS posts F
 )
 def stream_trailing_count(spark, sf_dir):
     posts = stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    counted = finished(spark, streaming.trailing_count(posts, "user_id", "7 days", "1 day"), "update")
-    last = run.latest(counted, ["user_id", "window_start", "window_end"])
+    store = scratch_path(spark, "posts")
+    streaming.count_posts(posts, "user_id", store, scratch_path(spark, "progress")).awaitTermination()
+    daily = streaming.posts_per_day(spark, store, "user_id", posts.schema["user_id"].dataType.simpleString())
+    last = streaming.trailing_count(daily, "user_id", 7)
     return last.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "posts")
 
 
@@ -125,6 +127,24 @@ def stream_idle_items(spark, sf_dir):
     return alerts.select("user_id", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"))
 
 
+@query(
+    "stream_interrupted_sessions",
+    f"""WITH {work_log.SESSIONS_SQL}, edge AS (
+  SELECT least(max(ts) FILTER (event_type = 'purchase'), max(ts) FILTER (event_type <> 'purchase')) - INTERVAL 1 HOUR AS edge FROM events)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS prompts
+FROM numbered, edge GROUP BY user_id, s, edge
+HAVING count(*) FILTER (event_type = 'purchase') = 0 AND max(ts) + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND <= edge""",
+)
+def stream_interrupted_sessions(spark, sf_dir):
+    """Sessions that are over by the watermark of the slower of the two streams; a purchase is a save."""
+    events = stream(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    activity = events.filter(F.col("event_type") != "purchase")
+    saves = events.filter(F.col("event_type") == "purchase")
+    found = finished(spark, streaming.interrupted_sessions(activity, saves, "user_id", 6 * 3600), "append")
+    return work_log.seconds(found.drop("batch"))
+
+
 @query("stream_route", f"WITH {recall_routing.MAPPED_SQL} SELECT doc_id, object_id, route FROM routed")
 def stream_route(spark, sf_dir):
     texts = stream(spark, sf_dir, "documents").select("doc_id", "text")

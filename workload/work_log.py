@@ -324,13 +324,13 @@ def task_focus(spark, sf_dir):
 SESSIONS_SQL = """
 cut AS (
   SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS starts
-  FROM events {where} WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 numbered AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM cut)"""
 
 
 @query(
     "activity_sessions",
-    f"""WITH {SESSIONS_SQL.format(where='')}
+    f"""WITH {SESSIONS_SQL}
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started,
   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS prompts
 FROM numbered GROUP BY user_id, s""",
@@ -342,15 +342,15 @@ def activity_sessions(spark, sf_dir):
 
 @query(
     "interrupted_sessions",
-    f"""WITH {SESSIONS_SQL.format(where="WHERE event_type IN ('view', 'click', 'purchase')")}
+    f"""WITH {SESSIONS_SQL}
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started,
   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS prompts
 FROM numbered GROUP BY user_id, s HAVING count(*) FILTER (event_type = 'purchase') = 0""",
 )
 def interrupted_sessions(spark, sf_dir):
-    """Views and clicks are prompts, a purchase is a save."""
+    """A purchase is a save, every other event a prompt."""
     events = table(spark, sf_dir, "events", "user_id", "ts", "event_type")
-    activity = events.filter(F.col("event_type").isin("view", "click"))
+    activity = events.filter(F.col("event_type") != "purchase")
     saves = events.filter(F.col("event_type") == "purchase")
     return seconds(worklog.interrupted_sessions(activity, saves, "user_id", 6 * 3600))
 
