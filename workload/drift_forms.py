@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.functions import bands, text
-from galley.operators import drift, forms, layout, rules
+from galley.operators import drift, forms, layout, passages, rules
 from galley.plans import drift_check
 from galley.schema import RULES
 from galley.session import scratch_path
@@ -124,6 +124,23 @@ def shared_passages(spark, sf_dir):
     return drift.shared_passages(pairs, ["page_id"], "note", "screen")
 
 
+@query(
+    "corpus_passages",
+    rf"""WITH l AS (SELECT doc_id, {Q.collapse('text')} AS t FROM documents), r AS (SELECT item_id, {Q.collapse('text')} AS t FROM benchmark),
+lg AS (SELECT doc_id, i AS lp, substr(t, i, 40) AS g FROM (SELECT *, unnest(range(1, length(t) - 38)) AS i FROM l WHERE length(t) >= 40)),
+rg AS (SELECT item_id, i AS rp, substr(t, i, 40) AS g FROM (SELECT *, unnest(range(1, length(t) - 38)) AS i FROM r WHERE length(t) >= 40)),
+m AS (SELECT doc_id, item_id, rp - lp AS d, lp FROM lg JOIN rg USING (g)),
+n AS (SELECT *, lp - row_number() OVER (PARTITION BY doc_id, item_id, d ORDER BY lp) AS run FROM m),
+f AS (SELECT doc_id, item_id, min(lp) AS start, least(80, count(*) + 39) AS length FROM n GROUP BY doc_id, item_id, d, run),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY length DESC, start) AS rn FROM f)
+SELECT doc_id, item_id, start, k.length, substr(t, CAST(start AS BIGINT), CAST(k.length AS BIGINT)) AS fragment FROM k JOIN l USING (doc_id) WHERE rn = 1""",
+)
+def corpus_passages(spark, sf_dir):
+    """All documents against all benchmark items: runs of 40 characters and more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return passages.corpus_passages(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), "doc_id", "item_id", "text")
+
+
 @query(
     "merge_runs",
     """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
