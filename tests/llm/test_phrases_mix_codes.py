@@ -74,10 +74,20 @@ def test_tiles_dense_and_sparse(monkeypatch):
     assert [len(x) for x in phrase_tiles.tile_counts(none, none)] == [0, 0, 0]
 
 
-def test_long_text_without_a_piece_end_stays_whole():
-    data = np.frombuffer(b"a b " * 2_000_000 + b". c", np.uint8)
+def test_long_text_without_a_piece_end_stays_whole(monkeypatch):
+    monkeypatch.setattr(phrase_tiles, "CHUNK", 100)
+    data = np.frombuffer(b"a b " * 80 + b". c." + b"d e, " * 60, np.uint8)
     parts = [bytes(t) for _, t in phrase_tiles._parts(data, np.array([0, len(data)]))]
-    assert b"".join(parts) == bytes(data) and len(parts) == 2
+    assert b"".join(parts) == bytes(data) and len(parts[0]) == 321 and all(len(p) <= 100 for p in parts[1:])
+
+
+def test_filter_lets_every_pair_pass(spark):
+    rows = [(i * 7 % 1000, i * 13 % 977) for i in range(500)]
+    known = phrase_tiles.pair_filter(spark.createDataFrame(rows, "left long, right long").repartition(3))
+    left, right = (np.array([r[i] for r in rows], dtype=np.int64) for i in (0, 1))
+    bits = phrase_tiles._bits(left, right)
+    assert ((known[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1 == 1).all()
+    assert np.unpackbits(known).sum() <= 500
 
 
 def test_phrase_edges(spark):
