@@ -20,6 +20,7 @@ import html as entities
 import random
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ NUMBERS = 8
 WORD_ROWS = 4096
 SIZE = PATH_SIZE + WORD_SIZE + NUMBERS
 HIDDEN = 24
-PAGES, EPOCHS, BATCH, RATE = 480, 16, 32, 0.01
+PAGES, EPOCHS, BATCH, RATE = 1600, 14, 32, 0.01
 KEEP = 0.5
 
 # Elements whose content is no text, that break a block, and that have no end mark.
@@ -58,21 +59,107 @@ CLOSED_BY = {
     "option": {"option"},
 }
 
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL
-)
+_OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.DOTALL)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _HIDDEN_MARK = re.compile(r"\shidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 
-Block = tuple[str, tuple[str, ...], float]  # text, names along the path, share of characters in links
+class Path:
+    """The names along the path of a block; what it shares with its parents is stored once and summed once."""
+
+    __slots__ = ("parent", "own", "total")
+
+    def __init__(self, parent: "Path | None", own: tuple[str, ...]):
+        self.parent, self.own, self.total = parent, own, None
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        out: list[str] = []
+        at: Path | None = self
+        while at is not None:
+            out += reversed(at.own)
+            at = at.parent
+        return tuple(reversed(out))
+
+    def vector(self) -> np.ndarray:
+        """The sum of the hashed names, and the last name once more; summed down from the nearest known parent."""
+        chain: list[Path] = []
+        at: Path | None = self
+        while at is not None and at.total is None:
+            chain.append(at)
+            at = at.parent
+        total = np.zeros(PATH_SIZE) if at is None else at.total
+        for path in reversed(chain):
+            total = total.copy()
+            for name in path.own:
+                total += _hashed(name, PATH_SIZE)
+            path.total = total
+        return total + _hashed("last " + self.own[-1], PATH_SIZE)
+
+
+Block = tuple[str, "Path | None", float]  # text, path, share of characters in links
+
+
+class _Open:
+    """The open marks of a page, with the places of each name, so that nothing searches the whole stack."""
+
+    SCOPES = {"table", "ul", "ol", "dl", "select", "div", "section", "article", "blockquote", "td"}
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.paths: list[Path] = []
+        self.places: dict[str, list[int]] = {}
+        self.skipped: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        depth = len(self.tags)
+        self.tags.append(tag)
+        self.paths.append(Path(self.paths[-1] if self.paths else None, (tag, *names)))
+        self.places.setdefault(tag, []).append(depth)
+        if tag in SKIPPED:
+            self.skipped.append(depth)
+        if tag in self.SCOPES:
+            self.scopes.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Removes the marks from a depth on."""
+        while len(self.tags) > depth:
+            tag = self.tags.pop()
+            self.paths.pop()
+            self.places[tag].pop()
+            if tag in SKIPPED:
+                self.skipped.pop()
+            if tag in self.SCOPES:
+                self.scopes.pop()
+
+    def last(self, tag: str) -> int | None:
+        held = self.places.get(tag)
+        return held[-1] if held else None
+
+    def closed_by(self, tag: str) -> int | None:
+        """The first place that a mark closes without an end mark of its own."""
+        scope = self.scopes[-1] if self.scopes else -1
+        found = []
+        for name, closers in CLOSED_BY.items():
+            held = self.places.get(name)
+            if not held or tag not in closers:
+                continue
+            if name in ("td", "th") and tag in ("td", "th", "tr") and self.tags[scope] != "table":
+                found.append(held[0])
+            else:
+                inner = bisect_right(held, scope)
+                if inner < len(held):
+                    found.append(held[inner])
+        return min(found, default=None)
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order."""
+    """The leaf blocks of a page in order, in time linear in the page."""
     if not page:
         return []
     out: list[Block] = []
-    open_tags: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Open()
     held: list[str] = []
     linked = 0
 
@@ -80,22 +167,21 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            names = tuple(n for tag, more in open_tags for n in (tag, *more))
-            out.append((text, names, min(1.0, linked / len(text))))
+            out.append((text, stack.paths[-1] if stack.paths else None, min(1.0, linked / len(text))))
         held.clear()
         linked = 0
 
     def take(text: str) -> None:
         nonlocal linked
-        if text and not any(tag in SKIPPED for tag, _ in open_tags):
+        if text and not stack.skipped:
             held.append(text)
-            if any(tag == "a" for tag, _ in open_tags):
+            if stack.places.get("a"):
                 linked += len(text)
 
     def close(at: int) -> None:
-        if any(tag in BREAKS for tag, _ in open_tags[at:]):
+        if any(tag in BREAKS for tag in stack.tags[at:]):
             flush()
-        del open_tags[at:]
+        stack.cut(at)
 
     marks = _marks(page)
     ends = _skipped_ends(page, marks)
@@ -108,10 +194,9 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         if closing:
-            for depth in range(len(open_tags) - 1, -1, -1):
-                if open_tags[depth][0] == tag:
-                    close(depth)
-                    break
+            depth = stack.last(tag)
+            if depth is not None:
+                close(depth)
             continue
         if k - 1 in ends:
             if tag == "head":
@@ -119,22 +204,21 @@ def blocks(page: str | None) -> list[Block]:
             at, k = ends[k - 1]
             continue
         if tag in BREAKS:
-            left_open = next((depth for depth, (name, _) in enumerate(open_tags) if name in SKIPPED), None)
-            if left_open is not None and (open_tags[left_open][0] == "svg" or all(name in ("html", "body") for name, _ in open_tags[:left_open])):
-                close(left_open)
+            if stack.skipped:
+                left_open = stack.skipped[0]
+                if stack.tags[left_open] == "svg" or all(name in ("html", "body") for name in stack.tags[:left_open]):
+                    close(left_open)
             flush()
-            closes = [d for d, (name, _) in enumerate(open_tags) if tag in CLOSED_BY.get(name, ())]
-            scope = max((d for d, (name, _) in enumerate(open_tags) if name in ("table", "ul", "ol", "dl", "select", "div", "section", "article", "blockquote", "td")), default=-1)
-            inner = [d for d in closes if d > scope or open_tags[d][0] in ("td", "th") and tag in ("td", "th", "tr") and open_tags[scope][0] != "table"]
-            if inner:
-                del open_tags[min(inner) :]
+            inner = stack.closed_by(tag)
+            if inner is not None:
+                stack.cut(inner)
         if tag not in VOID and not rest.rstrip().endswith("/"):
             names = [w.lower() for m in _NAMES.finditer(rest) for w in re.split(r"[^A-Za-z0-9]+", "".join(filter(None, m.groups()))) if w]
             if _HIDDEN_MARK.search(rest):
                 names.append("hidden")
             if tag in SKIPPED:  # left open: it ends with what it stands in
                 flush()
-            open_tags.append((tag, tuple("." + w for w in names)))
+            stack.push(tag, tuple("." + w for w in names))
     take(page[at:])
     flush()
     return out
@@ -159,10 +243,23 @@ def _marks(page: str) -> list[Mark]:
             known[tag] = found.span() if found else (n, n)
         return known[tag]
 
-    at = 0
-    while mark := _MARK.search(page, at):
-        tag, rest = (mark.group(2) or "").lower(), mark.group(3) or ""
-        at = mark.end()
+    closers = _Closers(page)
+    at = seek = 0
+    while mark := _OPENING.search(page, seek):
+        start, head = mark.start(), mark.group()
+        if head == "<!--" or head == "<![CDATA[":
+            stop = "-->" if head == "<!--" else "]]>"
+            found = page.find(stop, mark.end())
+            end = n if found < 0 else found + len(stop)
+        elif mark.group(2):
+            end = closers.after(mark.end())
+        else:
+            end = closers.plain(mark.end())
+        if end < 0:  # it never closes, so it is text
+            seek = start + 1
+            continue
+        tag, rest = (mark.group(2) or "").lower(), page[mark.end() : end - 1] if mark.group(2) else ""
+        at = end
         if tag in SKIPPED and not rest.rstrip().endswith("/"):
             if mark.group(1):
                 inside[tag] = max(0, inside[tag] - 1)
@@ -174,10 +271,53 @@ def _marks(page: str) -> list[Mark]:
                 at = high
             else:
                 inside[tag] += 1
-        out.append((mark.start(), at, tag, bool(mark.group(1)), rest))
+        out.append((start, at, tag, bool(mark.group(1)), rest))
+        seek = at
     return out
 
 
+class _Closers:
+    """Where a mark ends: at the first > outside quotes.
+
+    The pattern finds it at once on ordinary pages. Where it fails, which costs a run to the end of the page, the ends
+    after every quote and > are worked out from right to left, once for the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.spots: list[int] | None = None
+        self.ends: list[int] = []
+
+    def plain(self, at: int) -> int:
+        return self.page.find(">", at) + 1 if at <= self.last else -1
+
+    def after(self, at: int) -> int:
+        if at > self.last:
+            return -1
+        if self.spots is None:
+            found = _ATTRIBUTES.match(self.page, at)
+            if found:
+                return found.end()
+            self._tabulate()
+        k = bisect_left(self.spots, at)
+        return self.ends[k] if k < len(self.spots) else -1
+
+    def _tabulate(self) -> None:
+        self.spots = [m.start() for m in re.finditer("[>\"']", self.page)]
+        self.ends = [-1] * len(self.spots)
+        after = {}  # the number of the next quote of each kind
+        for k in range(len(self.spots) - 1, -1, -1):
+            mark = self.page[self.spots[k]]
+            if mark == ">":
+                self.ends[k] = self.spots[k] + 1
+                continue
+            partner = after.get(mark, -1)
+            if 0 <= partner < len(self.spots) - 1:
+                self.ends[k] = self.ends[partner + 1]
+            after[mark] = k
+
+
 def _skipped_ends(page: str, marks: list[Mark]) -> dict[int, tuple[int, int]]:
     """The place and the next mark after each skipped element, by the number of its start mark.
 
@@ -245,14 +385,6 @@ def _hashed(name: str, size: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(names: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_SIZE)
-    for name in names:
-        out += _hashed(name, PATH_SIZE)
-    return out + _hashed("last " + names[-1], PATH_SIZE) if names else out
-
-
 @lru_cache(maxsize=1)
 def _word_table() -> np.ndarray:
     """The vectors that words share by their hash."""
@@ -265,8 +397,9 @@ def vectors(found: list[Block]) -> np.ndarray:
     rows: list[int] = []
     sizes = []
     crc = zlib.crc32
-    for i, (text, names, linked) in enumerate(found):
-        out[i, :PATH_SIZE] = _path_vector(names)
+    for i, (text, path, linked) in enumerate(found):
+        if path is not None:
+            out[i, :PATH_SIZE] = path.vector()
         words = text.lower().split()
         rows += [crc(w.encode()) & (WORD_ROWS - 1) for w in words]
         sizes.append(len(words))
@@ -384,8 +517,12 @@ class Lstm:
 def _text(rng: random.Random, words: int) -> str:
     syllables = rng.choice([["an", "er", "th", "ing", "re", "on"], ["ei", "sch", "ung", "der", "ver"], ["eau", "tre", "elle", "la"], ["ción", "que", "ar", "os"], ["lo", "rem", "ip", "sum", "do"]])
     marks = rng.choice(["", "", "", "", "***", "###", "!!", " |", " -", "$$$", "&&&"])
+    numbers = rng.choice([0, 0, 0, 0.1, 0.5])  # prices, dates, cells of a table
     out = []
     for _ in range(words):
+        if rng.random() < numbers:
+            out.append(rng.choice(["{}", "{}", "+{}", "{}%", "{}.5", "{}:30"]).format(rng.randrange(10 ** rng.choice([1, 2, 3, 4, 16]))))
+            continue
         out.append("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) + (marks if marks else rng.choice(["", "", "", "", ",", "."])))
     return (" ".join(out)).capitalize() + rng.choice([".", ".", ""])
 
@@ -397,22 +534,45 @@ def generated_page(rng: random.Random) -> str:
     def leaf(label: int, words: int) -> str:
         return f"{'M' if label else 'B'}{_MARKER}{_text(rng, words)}"
 
+    def link(words: int, cue: str = "") -> str:
+        return f"<a href=\"/x\">{leaf(0, words)}{cue}</a>"
+
+    def box(names: list[str], inner: str, tags: tuple[str, ...] = ("div", "div", "section", "aside")) -> str:
+        """An element named by class or id, with a name of the list or one with a part before or after it."""
+        name = rng.choice(names)
+        name = rng.choice([name] * 4 + [f"{name}-wrapper", f"site-{name}", f"{name} {rng.choice(['box', 'block', 'col'])}", f"{name}_{rng.randint(1, 9)}"])
+        return f"<{(t := rng.choice(tags))} {rng.choice(['class', 'class', 'id'])}=\"{name}\">{inner}</{t}>"
+
     def menu() -> str:
-        items = "".join(f"<li><a href=\"/x\">{leaf(0, rng.randint(1, 2))}</a></li>" for _ in range(rng.randint(3, 7)))
-        tag = rng.choice(["<nav>{}</nav>", "<nav class=\"menu\">{}</nav>", "<div class=\"menu\">{}</div>", "<div id=\"navigation\">{}</div>", "<ul class=\"nav\">{}</ul>", "<div role=\"navigation\">{}</div>"])
+        items = "".join(f"<li>{link(rng.randint(1, 2))}</li>" for _ in range(rng.randint(3, 7)))
+        tag = rng.choice(["<nav>{}</nav>", "<nav class=\"menu\">{}</nav>", "<div class=\"menu\">{}</div>", "<div id=\"navigation\">{}</div>", "<ul class=\"nav\">{}</ul>", "<div role=\"navigation\">{}</div>", "<div id=\"left\">{}</div>", "<nav class=\"nav\">{}</nav>"])
+        if "<ul class" not in tag and rng.random() < 0.25:  # links in a row
+            return tag.format(rng.choice([" ", " | ", "<br>"]).join(link(rng.randint(1, 2)) for _ in range(rng.randint(1, 6))))
         return tag.format(items if "<ul class" in tag else f"<ul>{items}</ul>")
 
+    def crumbs() -> str:
+        mark = rng.choice([" &gt; ", " / ", " » ", " | "])
+        return box(["breadcrumb", "breadcrumbs", "pagination", "pager", "crumbs", "toolbar"], mark.join(link(rng.randint(1, 2)) for _ in range(rng.randint(2, 5))), ("div", "p", "nav"))
+
+    def share() -> str:
+        cues = rng.sample(["Share", "Tweet", "Facebook", "Email", "Print", "Pin it", "Like", "WhatsApp", "Copy link"], rng.randint(2, 4))
+        links = [f"<a href=\"/s\">{leaf(0, 1)} {cue}</a>" for cue in cues]
+        inner = " ".join(links) if rng.random() < 0.5 else "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
+        return box(["share", "share-links", "social", "sharing", "post-share", "social-links", "addthis", "tags"], inner, ("div", "div", "p"))
+
     def advert() -> str:
         name = rng.choice(["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner ad", "ad-slot"])
         return f"<{(t := rng.choice(['div', 'aside', 'section', 'div']))} class=\"{name}\">{leaf(0, rng.randint(3, 25))}</{t}>"
 
     def notice() -> str:
-        name = rng.choice(["cookie", "cookie-notice", "notice", "consent", "newsletter", "popup", "alert", "gdpr"])
-        cue = rng.choice(["We use cookies", "Accept all", "Subscribe to our newsletter", "Sign up", ""])
-        return f"<div {rng.choice(['class', 'id'])}=\"{name}\"><p>{leaf(0, rng.randint(3, 20))} {cue}</p></div>"
+        name = rng.choice(["cookie", "cookie-notice", "cookie-bar", "cookiebanner", "notice", "consent", "newsletter", "popup", "alert", "gdpr", "subscribe"])
+        cue = rng.choice(["We use cookies", "This site uses cookies", "Accept all", "Subscribe to our newsletter", "Sign up", ""])
+        inner = f"{leaf(0, rng.randint(3, 20))} {cue}"
+        inner = rng.choice([f"<p>{inner}</p>", f"<p>{inner}</p>", inner + " <button>Accept</button>", f"<p>{inner}</p>{link(1)}"])
+        return f"<div {rng.choice(['class', 'id'])}=\"{name}\">{inner}</div>"
 
     def sidebar() -> str:
-        name = rng.choice(["<aside>{}</aside>", "<div class=\"sidebar\">{}</div>", "<aside class=\"related\">{}</aside>", "<div id=\"sidebar\">{}</div>", "<div class=\"related-posts\">{}</div>", "<div class=\"widget\">{}</div>"])
+        name = rng.choice(["<aside>{}</aside>", "<div class=\"sidebar\">{}</div>", "<aside class=\"related\">{}</aside>", "<div id=\"sidebar\">{}</div>", "<div class=\"related-posts\">{}</div>", "<div class=\"widget\">{}</div>", "<div class=\"recommended\">{}</div>", "<div id=\"left\">{}</div>", "<div id=\"right\">{}</div>", "<div class=\"right-col\">{}</div>"])
         inner = f"<h3>{leaf(0, 2)}</h3>" + "".join(rng.choice(["<p>{}</p>", "<li><a href=\"/y\">{}</a></li>"]).format(leaf(0, rng.randint(2, 18))) for _ in range(rng.randint(1, 4)))
         return name.format(inner)
 
@@ -420,48 +580,87 @@ def generated_page(rng: random.Random) -> str:
         return f"<form><label>{leaf(0, 1)}</label><input name=\"q\"><button>{leaf(0, 1)}</button></form>"
 
     def comments() -> str:
-        name = rng.choice(["comments", "comment-list", "reader-comments", "discussion", "replies"])
-        inner = "".join(rng.choice(["<div class=\"comment\"><b>{}</b><p>{}</p></div>", "<li class=\"comment\"><span>{}</span> <p>{}</p></li>"]).format(leaf(0, 1), leaf(0, rng.randint(3, 30))) for _ in range(rng.randint(1, 5)))
+        name = rng.choice(["comments", "comment-list", "reader-comments", "discussion", "replies", "disqus_thread", "responses", "commentlist", "respond"])
+        forms = [
+            "<div class=\"comment\"><b>{}</b><p>{}</p></div>", "<li class=\"comment\"><span>{}</span> <p>{}</p></li>",
+            "<div><b>{} says</b><p>{}</p></div>", "<p><b>{}:</b> {}</p>", "<article class=\"comment\"><h4>{}</h4><p>{}</p></article>",
+        ]
+        inner = "".join(rng.choice(forms).format(leaf(0, 1), leaf(0, rng.randint(3, 30))) for _ in range(rng.randint(1, 5)))
         return f"<{(t := rng.choice(['section', 'div']))} {rng.choice(['class', 'id'])}=\"{name}\"><h2>{leaf(0, 1)}</h2>{inner}</{t}>"
 
     def footer() -> str:
         inner = rng.choice(["&copy; {}", "{} &middot; {}", "<p>&copy; 2020 {}</p><p>{}</p>", "<ul><li><a href=\"/z\">{}</a></li><li><a href=\"/w\">{}</a></li></ul>"])
-        tag = rng.choice(["<footer>{}</footer>", "<footer>{}</footer>", "<div class=\"footer\">{}</div>", "<div id=\"footer\">{}</div>"])
+        if rng.random() < 0.2:  # a line of its own, without a name
+            line = f"{rng.choice(['Copyright', 'Copyright 2011', '&copy;', 'All rights reserved', 'Powered by', 'Imprint'])} {leaf(0, rng.randint(1, 5))}"
+            return rng.choice(["<p>{}</p>", "<hr><p>{}</p>", "<p><small>{}</small></p>", "<center>{}</center>", "<div>{}</div>", "<address>{}</address>", "<p class=\"copyright\">{}</p>"]).format(line)
+        tag = rng.choice(["<footer>{}</footer>", "<footer>{}</footer>", "<div class=\"footer\">{}</div>", "<div id=\"footer\">{}</div>", "<div id=\"bottom\">{}</div>"])
         return tag.format(inner.format(leaf(0, rng.randint(1, 6)), leaf(0, rng.randint(2, 9))))
 
     def header() -> str:
-        tag = rng.choice(["<header>{}</header>", "<div class=\"header\">{}</div>", "<div id=\"masthead\">{}</div>"])
+        tag = rng.choice(["<header>{}</header>", "<div class=\"header\">{}</div>", "<div id=\"masthead\">{}</div>", "<div id=\"top\">{}</div>"])
         return tag.format(rng.choice(["<a href=\"/\">{}</a>", "<h1>{}</h1>", "<p>{}</p>"]).format(leaf(0, rng.randint(1, 4))))
 
+    def figure() -> str:
+        caption = f"<figcaption>{leaf(1, rng.randint(3, 14))}</figcaption>"
+        return f"<figure><img src=\"/i.png\">{caption}</figure>" if rng.random() < 0.7 else f"<div class=\"image\"><img src=\"/i\"><p class=\"caption\">{leaf(1, rng.randint(3, 14))}</p></div>"
+
+    def listing() -> str:
+        tag = rng.choice(["ul", "ul", "ol", "dl"])
+        if tag == "dl":
+            return "<dl>" + "".join(f"<dt>{leaf(1, rng.randint(1, 3))}</dt><dd>{leaf(1, rng.randint(2, 14))}</dd>" for _ in range(rng.randint(2, 5))) + "</dl>"
+        linked = rng.random() < 0.15
+        items = "".join(f"<li>{leaf(1, rng.randint(1, 14))}{' <a href=\"/l\">l</a>' if linked else ''}</li>" for _ in range(rng.randint(2, 6)))
+        return f"<{tag}>{items}</{tag}>"
+
+    def grid() -> str:
+        columns = rng.randint(2, 4)
+        head = "<tr>" + "".join(f"<th>{leaf(1, rng.randint(1, 2))}</th>" for _ in range(columns)) + "</tr>"
+        rows = "".join("<tr>" + "".join(f"<td>{leaf(1, rng.randint(1, 4))}</td>" for _ in range(columns)) + "</tr>" for _ in range(rng.randint(1, 5)))
+        return f"<table{rng.choice(['', ' class=\"data\"', ' border=\"1\"'])}>{rng.choice([head, ''])}{rows}</table>"
+
     def article() -> str:
-        unclosed = rng.random() < 0.4
+        unclosed = rng.random() < 0.3
         body = []
         title = leaf(1, rng.randint(1, 12))
         if rng.random() < 0.85:
             body.append(f"<{(h := rng.choice(['h1', 'h1', 'h2']))}>{title}</{h}>")
+        if rng.random() < 0.1:
+            body.append(share())
         if unclosed:
             body.append(f"<p><b>{leaf(1, rng.randint(1, 12))}<br>")
         for _ in range(rng.randint(1, 12)):
-            form_of = rng.choice(["<p>{}</p>"] * 8 + ["<p><b>{}</b></p>", "<p><b>{}<br>", "<li>{}</li>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<p>{} <a href=\"/l\">l</a></p>", "<pre>{}</pre>", "<td>{}</td>", "<div>{}</div>"])
+            if rng.random() < 0.12:
+                body.append(rng.choice([figure, listing, listing, grid])())
+            form_of = rng.choice(["<p>{}</p>"] * 8 + ["<p><b>{}</b></p>", "<p><b>{}<br>", "<li>{}</li>", "<h2>{}</h2>", "<h3>{}</h3>", "<blockquote>{}</blockquote>", "<p>{} <a href=\"/l\">l</a></p>", "<pre>{}</pre>", "<td>{}</td>", "<div>{}</div>"])
             body.append(form_of.format(leaf(1, rng.choice([1, 2, 5, 12, 25, 40]))))
             if rng.random() < 0.06:
                 body.append(rng.choice([advert, sidebar, notice])())
+        if rng.random() < 0.12:
+            body.append(share())
         if rng.random() < 0.1:
             body.append(comments())
-        wrap = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>", "<main><article>{}</article></main>", "<div class=\"content\">{}</div>", "<div id=\"main-content\">{}</div>", "<div class=\"post-body\">{}</div>", "<div class=\"article\">{}</div>", "<div><div>{}</div></div>", "<div role=\"main\">{}</div>"])
+        wrap = rng.choice(
+            ["<article>{}</article>"] * 7
+            + ["<main>{}</main>"] * 2
+            + ["<main><article>{}</article></main>", "<div class=\"content\">{}</div>", "<div id=\"main-content\">{}</div>", "<div class=\"post-body\">{}</div>"]
+            + ["<div class=\"article\">{}</div>", "<div><div>{}</div></div>", "<div role=\"main\">{}</div>", "<div class=\"entry-content\">{}</div>"]
+            + ["<section class=\"story\">{}</section>", "<div id=\"page\"><div class=\"main\">{}</div></div>", "<section>{}</section>", "{}", "<div id=\"middle\">{}</div>", "<div class=\"center\">{}</div>", "<section class=\"post\">{}</section>"]
+        )
         return wrap.format("".join(body))
 
-    if rng.random() < 0.4:
-        parts.append(header())
-    if rng.random() < 0.85:
-        parts.append(menu())
-    for make, chance in ((notice, 0.25), (advert, 0.6), (form, 0.15), (sidebar, 0.2)):
-        if rng.random() < chance:
-            parts.append(make())
-    parts.append(article())
-    for make, chance in ((sidebar, 0.2), (advert, 0.2), (comments, 0.3), (form, 0.15), (notice, 0.15), (menu, 0.15)):
-        if rng.random() < chance:
-            parts.append(make())
+    before = ((header, 0.4), (menu, 0.85), (crumbs, 0.2), (notice, 0.25), (advert, 0.6), (form, 0.15), (sidebar, 0.2))
+    after = ((share, 0.15), (sidebar, 0.2), (advert, 0.2), (comments, 0.35), (form, 0.15), (notice, 0.2), (menu, 0.15), (crumbs, 0.1))
+    if rng.random() < 0.12:  # laid out by a table, as older pages are
+        top = "".join(make() for make, chance in before if rng.random() < chance / 2)
+        side, rest = rng.choice([menu, sidebar, advert])(), "".join(make() for make, chance in after if rng.random() < chance)
+        cells = [f"<td{rng.choice(['', ' valign=\"top\"', ' width=\"20%\"'])}>{x}</td>" for x in (side, article())]
+        if rng.random() < 0.3:
+            cells.reverse()
+        parts.append(f"{top}<table>{f'<tr><td colspan=\"2\">{header()}</td></tr>' if rng.random() < 0.5 else ''}<tr>{''.join(cells)}</tr></table>{rest}")
+    else:
+        parts += [make() for make, chance in before if rng.random() < chance]
+        parts.append(article())
+        parts += [make() for make, chance in after if rng.random() < chance]
     if rng.random() < 0.9:
         parts.append(footer())
     return f"<!DOCTYPE html><html lang=\"en\"><head><title>{_text(rng, 4)}</title><style>p{{}}</style></head><body>{''.join(parts)}</body></html>"
