@@ -32,8 +32,13 @@ BANNED = {
 # Words that show an intent to buy.
 COMMERCIAL_MARKERS = ("가격", "비용", "추천", "근처")
 
-# Final endings of Korean sentences.
-ENDINGS = ("다", "요", "까", "죠")
+# Final endings of Korean sentences, each a kind of its own; the longest one a sentence closes with counts.
+# The six published kinds come first, then further common ones, then the four bare endings.
+ENDINGS = (
+    "니다", "한다", "이다", "었다", "였다", "있다",
+    "했다", "된다", "없다", "겠다", "세요", "네요", "니까",
+    "다", "요", "까", "죠",
+)
 
 # The turn of phrase "not A but B".
 CONTRAST = r"(?:이|가) 아니라"

@@ -20,13 +20,13 @@ def with_entry(rows: DataFrame) -> DataFrame:
     ).withColumn("evidence", bands.evidence_grade(F.col("channel")))
 
 
-def with_price_band(rows: DataFrame, survey: str = "survey_id", width: float = 1_000.0) -> DataFrame:
+def with_price_band(rows: DataFrame, survey: str = "survey_id") -> DataFrame:
     """Adds cpc_band: high at or above the upper quartile of the same survey.
 
     The absolute price stays; it is the only value comparable across surveys.
     """
     require(rows, survey, "cpc")
-    cut = ordered.exact_quantile(rows, [survey], "cpc", 0.75, "_cut", width)
+    cut = ordered.exact_quantile(rows, [survey], "cpc", 0.75, "_cut")
     band = (
         F.when(F.col("cpc").isNull(), "unknown")
         .when(F.col("cpc").cast("double") >= F.col("_cut"), "high")
@@ -143,7 +143,7 @@ def gap_band(
 
 def demand_axes(
     videos: DataFrame, as_of: str, *, one_hit: float = 10.0, small_channel: int = 40_000,
-    months: int = 6, width: float = 1_000.0,
+    months: int = 6,
 ) -> DataFrame:
     """Per keyword: median and top views, one-hit flag, videos by small channels, recent share."""
     require(videos, "keyword", "channel", "followers", "views", "uploaded")
@@ -162,7 +162,7 @@ def demand_axes(
         F.coalesce(F.sum(F.when(F.col("_small"), F.col("_n"))), F.lit(0)).alias("small_channel_videos"),
         (F.sum("_recent") / F.sum("_n")).alias("recent_share"),
     )
-    median = ordered.exact_quantile(videos, ["keyword"], "views", 0.5, "median_views", width)
+    median = ordered.exact_quantile(videos, ["keyword"], "views", 0.5, "median_views")
     joined = facts.join(median, "keyword", "left")
     ratio = F.when(F.col("median_views") > 0, F.col("top_views") / F.col("median_views"))
     return joined.withColumn("one_hit", F.coalesce(ratio >= one_hit, F.lit(False)))
@@ -228,7 +228,9 @@ def placement_plan(topics: DataFrame, channel: str) -> DataFrame:
     """(channel, week, kind, topic, tier): one search piece and one story piece a week.
 
     Open places come first, places won by difference second, saturated
-    cornerstones last. Stories follow their topic order.
+    cornerstones last. Stories follow their topic order. The order is cut into
+    ranges, so a channel of any size, also one of equal tiers and volumes, is
+    numbered by many tasks.
     """
     require(topics, channel, "topic", "kind", "entry", "differentiated", "volume")
     tier = (
@@ -236,11 +238,7 @@ def placement_plan(topics: DataFrame, channel: str) -> DataFrame:
         .when((F.col("entry") == "ok") | F.col("differentiated"), 2)
         .otherwise(3)
     )
-    ranked = ordered.numbered(
-        topics.withColumn("tier", tier),
-        [channel, "kind"],
-        ["tier", F.desc("volume"), "topic"],
-        "week",
-        [F.col("tier"), -F.floor(F.log2(F.coalesce("volume", F.lit(0)) + 1))],
+    ranked = ordered.range_numbered(
+        topics.withColumn("tier", tier), [channel, "kind"], ["tier", F.desc("volume"), "topic"], "week"
     )
     return ranked.select(channel, "week", "kind", "topic", "tier")

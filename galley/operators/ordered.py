@@ -160,34 +160,40 @@ def next_value(
     )
 
 
-def exact_quantile(
-    df: DataFrame, group: Sequence[str], value: str, q: float, out: str, width: float
-) -> DataFrame:
+def exact_quantile(df: DataFrame, group: Sequence[str], value: str, q: float, out: str) -> DataFrame:
     """Exact interpolated quantile per group, one row per group.
 
-    Equal values are counted first, so the ranked rows are distinct values, cut
-    into blocks of `width`. NULL values are ignored; a group that has only NULLs
-    gets no row.
+    Equal values are counted first. The counted values are written in range
+    partitions, whose cut points Spark samples from the values themselves; each
+    partition of a group tells its total, and only the one or two partitions that
+    hold the wanted ranks are put in order. Dense, wide and very large groups
+    are alike. NULL values are ignored; a group that has only NULLs gets no row.
     """
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running_total(
-        counts, group, [value], F.col("_n"), "_upto", F.floor(F.col(value).cast("double") / width)
-    )
-    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    at = (F.col("_total") - 1) * F.lit(q)
-    lower, upper = F.floor(at), F.ceil(at)
+    placed = in_ranges(counts, group, [value]).drop("_at")
+    keys = [*group, "_part"]
+    whole = Window.partitionBy(*group)
+    upto = F.sum("_sum").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = placed.groupBy(*keys).agg(F.sum("_n").alias("_sum")).withColumns({
+        "_upto": upto, "_at": (F.sum("_sum").over(whole) - 1) * F.lit(q),
+    })
+    lower, upper = F.floor("_at"), F.ceil("_at")
+    before = F.col("_upto") - F.col("_sum")
+    holds = lambda rank: (before <= rank) & (rank < F.col("_upto"))
+    wanted = parts.filter(holds(lower) | holds(upper)).select(*keys, before.alias("_before"), "_at")
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(wanted, keys).withColumn("_rank", F.col("_before") + F.sum("_n").over(inside))
     as_double = F.col(value).cast("double")
     return (
-        ranked.join(totals, list(group))
-        .groupBy(*group)
+        ranked.groupBy(*group)
         .agg(
-            F.min(F.when(F.col("_upto") > lower, as_double)).alias("_lo"),
-            F.min(F.when(F.col("_upto") > upper, as_double)).alias("_hi"),
-            F.first(at - lower).alias("_part"),
+            F.min(F.when(F.col("_rank") > lower, as_double)).alias("_lo"),
+            F.min(F.when(F.col("_rank") > upper, as_double)).alias("_hi"),
+            F.first(F.col("_at") - lower).alias("_share"),
         )
-        .select(*group, (F.col("_lo") + F.col("_part") * (F.col("_hi") - F.col("_lo"))).alias(out))
+        .select(*group, (F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))).alias(out))
     )

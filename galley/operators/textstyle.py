@@ -27,6 +27,31 @@ def running_fence(lines: DataFrame, key: str = "doc") -> DataFrame:
     return counted.withColumn("in_fence", inside).drop("_fences")
 
 
+def fenced_lines(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, line_no, line, in_fence) of whole documents, each inside its row.
+
+    The rules of `running_fence` without its shuffle: a document is cut in front of its
+    fence lines, and the number of a piece tells how many fences came before.
+    """
+    require(docs, key, body)
+    pieces = F.split(F.col(body), r"\r?\n(?=[^\S\n]*```)")
+
+    def marked(parts: Column) -> Column:
+        opened = parts[0].rlike(FENCE).cast("int")
+        return F.flatten(
+            F.transform(
+                parts,
+                lambda p, i: F.transform(
+                    text.lines(p),
+                    lambda l, n: F.struct(l.alias("line"), (((i + opened) % 2 == 1) | ((n == 0) & l.rlike(FENCE))).alias("in_fence")),
+                ),
+            )
+        )
+
+    rows = docs.select(key, F.posexplode(text.bind(pieces, marked)).alias("_pos", "_l"))
+    return rows.select(key, (F.col("_pos") + 1).alias("line_no"), "_l.line", "_l.in_fence")
+
+
 def body_text(c: Column) -> Column:
     """Prose of a document: no code blocks, headings or table rows.
 
@@ -58,15 +83,18 @@ def body_scope(docs: DataFrame, key: str, body: str) -> DataFrame:
 
 
 def _ending_of(sentence: Column, endings: Sequence[str]) -> Column:
-    """The listed ending a sentence closes with, or NULL."""
+    """The listed ending a sentence closes with, or NULL; of several the longest.
 
-    def of_bare(bare: Column) -> Column:
-        found = F.lit(None).cast("string")
-        for ending in endings:
-            found = F.when(bare.endswith(ending), ending).otherwise(found)
-        return found
-
-    return text.bind(F.rtrim(sentence, F.lit(text.CLOSING + text.WHITE)), of_bare)
+    The endings are levels of a suffix trie: the last characters of a sentence
+    are looked up once for each length that occurs, the longest length first.
+    """
+    levels = []
+    for size in sorted({len(e) for e in endings}, reverse=True):
+        known = F.create_map(*[F.lit(x) for e in endings if len(e) == size for x in (e, e)])
+        levels.append(lambda bare, n=size, known=known: F.try_element_at(known, F.right(bare, F.lit(n))))
+    return text.bind(
+        F.rtrim(sentence, F.lit(text.CLOSING + text.WHITE)), lambda bare: F.coalesce(*[level(bare) for level in levels])
+    )
 
 
 def style_metrics(
@@ -109,10 +137,10 @@ def style_metrics(
         "_p", lambda p: ~p["listed"] & F.exists(p["ends"], lambda e: e.isNotNull())
     )
 
-    def uses(ending: str) -> Column:
+    def uses(ending: Column) -> Column:
         return F.size(F.filter("_e", lambda e: e == ending))
 
-    top = F.array_max(F.array(*[uses(ending) for ending in endings]))
+    top = F.array_max(F.transform(F.array_distinct("_e"), uses))
 
     def korean(value: Column) -> Column:
         return F.when(F.col("_korean"), value)

@@ -252,16 +252,16 @@ def task_focus(tasks: DataFrame, board: str) -> DataFrame:
     """(board, task, status, priority, place, suggested) in the order of work.
 
     Started work comes first, then reviews, then to-do by priority. The first
-    place is the suggestion, unless it is a review: then the best to-do is.
+    place is the suggestion, unless it is a review: then the best to-do is. The
+    order is cut into ranges, so a board with most of all tasks, or with one
+    priority for all, is numbered by many tasks.
     """
     require(tasks, board, "task", "status", "priority")
     group = F.lit(None).cast("int")
     for status, rank in TASK_GROUPS.items():
         group = F.when(F.col("status") == status, rank).otherwise(group)
     active = tasks.withColumn("_group", group).filter(F.col("_group").isNotNull())
-    placed = ordered.numbered(
-        active, [board], ["_group", "priority", "task"], "place", [F.col("_group"), F.col("priority")]
-    )
+    placed = ordered.range_numbered(active, [board], ["_group", "priority", "task"], "place")
     pick = (
         active.filter(F.col("_group") != 2)
         .groupBy(board)

@@ -64,6 +64,48 @@ def carry_forward_sections(
     )
 
 
+def section_settings(
+    docs: DataFrame, key: str, body: str, header: str = SETTINGS_HEADER, comment: str = ";"
+) -> DataFrame:
+    """Settings files to (doc, section, key, value), each file inside its row.
+
+    The rules of `carry_forward_sections` without its shuffle: a file is cut in
+    front of its headers, so each piece is a section with the lines it owns. Of a key
+    given twice in one section the last value is kept, by a sort inside the row.
+    """
+    require(docs, key, body)
+    rows = F.filter(F.transform(text.lines(F.col(body)), text.strip), lambda l: (l != "") & ~l.startswith(comment))
+    pieces = F.split(F.array_join(rows, "\n"), rf"(?md)\n(?={header})")
+
+    def settings(piece: Column) -> Column:
+        def of_rows(owned: Column) -> Column:
+            section = F.regexp_extract(owned[0], header, 1)
+            below = F.slice(owned, 2, F.greatest(F.size(owned) - 1, F.lit(0)))
+            given = F.filter(F.when(owned[0].rlike(header), below), lambda l: F.instr(l, "=") > 1)
+            return F.transform(
+                given,
+                lambda l: F.struct(
+                    section.alias("section"),
+                    F.substring_index(l, "=", 1).alias("key"),
+                    F.substring(l, F.instr(l, "=") + 1, F.length(l)).alias("value"),
+                ),
+            )
+
+        return text.bind(text.lines(piece), of_rows)
+
+    found = F.flatten(F.filter(F.transform(pieces, settings), lambda p: p.isNotNull()))
+    placed = F.array_sort(
+        F.transform(found, lambda e, i: F.struct(e["section"].alias("section"), e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+    )
+
+    def is_last(s: Column, e: Column, i: Column) -> Column:
+        after = F.get(s, i + 1)
+        return after.isNull() | (after["section"] != e["section"]) | (after["key"] != e["key"])
+
+    last = text.bind(placed, lambda s: F.filter(s, lambda e, i: is_last(s, e, i)))
+    return docs.select(F.col(key), F.explode(last).alias("_s")).select(key, "_s.section", F.col("_s.key").alias("key"), F.col("_s.value").alias("value"))
+
+
 def _unquote(c: Column) -> Column:
     bare = F.trim(F.regexp_replace(text.strip(c), r"\s+#.*$", ""))
     return F.trim(F.regexp_replace(bare, r"""^["'](.*)["']$""", "$1"))

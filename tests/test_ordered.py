@@ -41,10 +41,52 @@ def test_exact_quantile(spark):
     rng = random.Random(3)
     rows = [(g, float(rng.randint(0, 50))) for g in "abc" for _ in range(rng.randint(1, 30))] + [("n", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r.m for r in ordered.exact_quantile(df, ["g"], "v", 0.5, "m", 4.0).collect()}
+    got = {r.g: r.m for r in ordered.exact_quantile(df, ["g"], "v", 0.5, "m").collect()}
     assert got == {g: statistics.median([v for h, v in rows if h == g]) for g in "abc"}
 
 
+def test_exact_quantile_of_a_dense_and_a_wide_group(spark):
+    """No width fits both: a million apart and a millionth apart."""
+    rng = random.Random(9)
+    dense = [("dense", rng.randint(0, 3000) * 1e-6) for _ in range(4000)]
+    wide = [("wide", rng.uniform(-1e15, 1e15)) for _ in range(3001)] + [("one", 7.0), ("same", 2.5), ("same", 2.5)]
+    df = spark.createDataFrame(dense + wide, "g string, v double")
+    for q in (0.0, 0.25, 0.5, 1.0):
+        got = {r.g: r.m for r in ordered.exact_quantile(df, ["g"], "v", q, "m").collect()}
+        for g in ("dense", "wide", "one", "same"):
+            values = sorted(v for h, v in dense + wide if h == g)
+            at = (len(values) - 1) * q
+            low, high = values[int(at)], values[min(int(at) + (at > int(at)), len(values) - 1)]
+            assert abs(got[g] - (low + (at - int(at)) * (high - low))) <= 1e-12 * max(1, abs(low), abs(high))
+
+
+def test_range_numbers_equal_a_window(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), rng.randint(0, 3), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, id int")
+    got = {r.id: r.n for r in ordered.range_numbered(df, ["g"], [F.desc("v"), "id"], "n").collect()}
+    for g in ("a", "b", None):
+        for place, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            assert got[i] == place
+    alone = ordered.range_numbered(df, [], ["id"], "n").filter("n <> id + 1")
+    assert alone.count() == 0 and ordered.range_numbered(df.limit(0), ["g"], ["id"], "n").count() == 0
+
+
+def test_a_hot_group_of_equal_rank_is_dealt_to_many_tasks(spark):
+    """A third of all rows on one board with one status and priority; the later order deals them."""
+    rows = spark.range(90_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).cast("int").alias("board"), F.lit(1).alias("p"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these rows are few
+    try:
+        placed = ordered.in_ranges(rows, ["board"], ["p", "id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [r["count"] for r in placed.groupBy("_part").count().collect()]
+    hot = placed.filter("board = 0").select("_part").distinct().count()
+    assert len(sizes) >= 6 and max(sizes) < 2 * 90_000 / len(sizes) and hot >= len(sizes) // 3
+
+
 def test_merge_runs(spark):
     df = spark.createDataFrame([("d", p) for p in (1, 2, 3, 3, 7, 9, 10)], "d string, p int")
     assert {(r.start, r.length) for r in drift.merge_runs(df, ["d"], "p").collect()} == {(1, 3), (7, 1), (9, 2)}

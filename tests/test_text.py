@@ -109,6 +109,32 @@ def test_style_metrics_korean(spark):
     assert en.ending_ratio is None and en.ending_variety is None and en.symbols == 0
 
 
+def test_endings_are_told_apart_by_the_longest_match(spark):
+    """The published kinds, polite and plain endings each count as their own."""
+    said = ["보고합니다.", "시작한다.", "문제이다!", "만들었다.", "바뀌었다.", "작아졌였다.", "남아 있다.", "했습니다.", "왜일까?", "그렇죠.", "좋네요.", "판다.", "명사"]
+    docs = spark.createDataFrame([(1, "\n".join(said))], "id int, body string")
+    got = textstyle.style_metrics(docs, "id", "body", min_hangul=0.3).first()
+    kinds = ["니다", "한다", "이다", "었다", "었다", "였다", "있다", "니다", "까", "죠", "네요", "다"]
+    assert got.ending_variety == len(set(kinds)) > 4
+    assert got.ending_ratio == pytest.approx(12 / 13 * 100)
+    assert got.top_ending_share == pytest.approx(2 / 12 * 100)
+    seven = spark.createDataFrame([(1, "갑니다. " * 71 + "간다. " * 29)], "id int, body string")
+    assert textstyle.style_metrics(seven, "id", "body", min_hangul=0.3).first().top_ending_share == pytest.approx(71)
+
+
+def test_trade_phrases_are_judged_by_a_given_bound(spark):
+    docs = spark.createDataFrame([(1, "혁신을 혁신한다. " * 20), (2, "매출을 적는다. 왜 줄었을까. 값을 내렸어요. " * 20)], "id int, body string")
+    judge = lambda **k: {
+        r.id: r.warnings.split(",")
+        for r in style_gate.style_verdict(docs, "id", "body", "business_plan", min_share=0.5, min_hangul=0.3, **k).collect()
+    }
+    assert all("cliche_per_1000" not in w for w in judge().values())
+    got = judge(cliches="혁신", cliche_bound=10.4)
+    assert "cliche_per_1000" in got[1] and "cliche_per_1000" not in got[2]
+    with pytest.raises(ValueError, match="together"):
+        judge(cliches="혁신")
+
+
 def test_profiles(spark):
     rows = [(1, "symbols", 2.0), (1, "ending_ratio", 50.0), (1, "digits_per_100", 9.0), (2, "symbols", 0.0)]
     metrics = spark.createDataFrame(rows, "doc_id int, axis string, value double")

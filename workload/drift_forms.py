@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galley.functions import bands, text
-from galley.operators import drift, forms, layout, passages, rules
+from galley.operators import drift, forms, layout, linediff, passages, rules
 from galley.plans import drift_check
 from galley.schema import RULES
 from galley.session import scratch_path
@@ -259,6 +259,32 @@ def line_changes(spark, sf_dir):
     return found.select("doc_id", "change", F.sha2("line", 256).alias("line_sha"), "copies")
 
 
+@query(
+    "ordered_changes",
+    f"""WITH {CHANGED_SQL}, l AS (SELECT doc_id, {Q.lines('base')} AS old, {Q.lines('new')} AS new FROM changed),
+s AS (
+  SELECT doc_id, 'removed' AS change, i AS line_no, old[i] AS line FROM (SELECT *, unnest(range(1, len(old) + 1)) AS i FROM l)
+  WHERE old[i] IS DISTINCT FROM new[i]
+  UNION ALL SELECT doc_id, 'added', i, new[i] FROM (SELECT *, unnest(range(1, len(new) + 1)) AS i FROM l) WHERE old[i] IS DISTINCT FROM new[i])
+SELECT doc_id, change, line_no, sha256(line) AS line_sha FROM s""",
+)
+def ordered_changes(spark, sf_dir):
+    """The changes leave each line at its place, so the SQL compares places; the query does not know that."""
+    docs = documents(spark, sf_dir)
+    found = linediff.ordered_changes(changed(docs), docs, "doc_id", "text")
+    return found.select("doc_id", "change", "line_no", F.sha2("line", 256).alias("line_sha"))
+
+
+@query(
+    "apply_changes",
+    f"""WITH {CHANGED_SQL} SELECT doc_id, sha256(array_to_string({Q.lines('new')}, chr(10))) AS text_sha FROM changed""",
+)
+def apply_changes(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    script = linediff.ordered_changes(changed(docs), docs, "doc_id", "text")
+    return linediff.apply_changes(docs, script, "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("text_sha"))
+
+
 # ---- layout ---------------------------------------------------------------
 
 BOXES_SQL = """
@@ -756,6 +782,17 @@ def judge(spark, sf_dir):
     return judged(spark, sf_dir).select("user_id", "kind", "metric", "status")
 
 
+@query(
+    "overall",
+    f"""WITH {JUDGED_SQL}
+SELECT CASE WHEN count(*) = 0 THEN 'not_measured' WHEN count(*) FILTER (status = 'fail') > 0 THEN 'fail'
+  WHEN count(*) FILTER (status IN ('unmeasured', 'warn')) > 0 THEN 'pass_with_warnings' ELSE 'pass' END AS verdict,
+  coalesce(string_agg(DISTINCT metric, ',' ORDER BY metric) FILTER (status = 'fail'), '') AS failures FROM judged""",
+)
+def overall(spark, sf_dir):
+    return rules.overall(judged(spark, sf_dir))
+
+
 @query(
     "verdict",
     f"""WITH {JUDGED_SQL}

@@ -100,7 +100,7 @@ def report_format(spark, sf_dir):
 
 @query("cpc_band", f"WITH {KEYWORDS_SQL} SELECT survey_id, keyword, cpc_band FROM banded")
 def cpc_band(spark, sf_dir):
-    rows = keywords.with_price_band(keyword_rows(spark, sf_dir), width=10.0)
+    rows = keywords.with_price_band(keyword_rows(spark, sf_dir))
     return rows.select("survey_id", "keyword", "cpc_band")
 
 

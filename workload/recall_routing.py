@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.functions import text
+from galley.operators import nearest as nearest_vectors
 from galley.operators import prefs, recall, routing, rules
 from galley.session import scratch_path
 from galley.sources import sinks
@@ -149,6 +150,24 @@ def similar_top_k(spark, sf_dir):
     return nearest(spark, sf_dir)
 
 
+@query(
+    "nearest_join",
+    """WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (
+  SELECT q.vec_id AS query_id, v.vec_id,
+    round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 12) AS similarity
+  FROM u q, u v WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(similarity, 6) AS similarity FROM r WHERE rank <= 8""",
+)
+def nearest_join(spark, sf_dir):
+    """Every row whose id is divisible by 20 asks for its eight nearest among all rows."""
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    asked = vectors.filter(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id")
+    found = nearest_vectors.nearest_join(asked, vectors, "query_id", "vec_id", "embedding", 8)
+    return found.rows.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(
     "recall_union",
     f"""WITH {NEAREST_SQL}, k AS (

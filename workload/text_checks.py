@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.functions import text
+from galley.functions import lexicon, text
 from galley.operators import drift, rules, textstyle
 from galley.plans import style_gate
 from galley.session import scratch_path
-from galley.sources import html, lines
+from galley.sources import assets, html, lines
 from workload import sqltext as Q
 from workload.registry import query, table, texts
 
@@ -62,15 +62,17 @@ FROM s WHERE section IS NOT NULL AND line_no % 4 <> 2 AND t <> ''""",
 )
 def carry_forward_sections(spark, sf_dir):
     """Every fourth line of a document becomes a header, the others settings."""
-    exploded = lines.explode_lines(documents(spark, sf_dir), "doc_id", "text")
-    content = text.strip(F.col("line"))
-    marked = exploded.withColumn(
-        "line",
-        F.when(content == "", "")
-        .when(F.col("line_no") % 4 == 2, F.concat(F.lit("[part "), F.col("line_no"), F.lit("]")))
-        .otherwise(F.concat(F.lit("line"), F.col("line_no"), F.lit("="), content)),
-    )
-    found = lines.carry_forward_sections(marked, "doc_id")
+    def marked(line, i):
+        number = (i + 1).cast("string")
+        content = text.strip(line)
+        return (
+            F.when(content == "", "")
+            .when(i % 4 == 1, F.concat(F.lit("[part "), number, F.lit("]")))
+            .otherwise(F.concat(F.lit("line"), number, F.lit("="), content))
+        )
+
+    settings = F.array_join(F.transform(text.lines(F.col("text")), marked), "\n")
+    found = lines.section_settings(documents(spark, sf_dir).withColumn("text", settings), "doc_id", "text")
     return found.select("doc_id", "section", "key", F.sha2("value", 256).alias("value_sha"))
 
 
@@ -93,6 +95,75 @@ def html_elements(spark, sf_dir):
     )
 
 
+# A deck per document: each line is a slide with its script, every second one has a note.
+SLIDE_LINE = "replace(replace(replace(replace(l, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(
+    "slides",
+    f"""WITH l AS (
+  SELECT doc_id, unnest(range(1, len(ls) + 1)) AS slide_no, unnest(ls) AS l FROM (SELECT doc_id, {Q.lines('text')} AS ls FROM documents))
+SELECT doc_id, slide_no, sha256({SLIDE_LINE}) AS script_sha, CASE WHEN slide_no % 2 = 0 THEN 'note ' || slide_no ELSE '' END AS note,
+  sha256('<p>' || {SLIDE_LINE} || '</p>') AS body_sha FROM l""",
+)
+def slides(spark, sf_dir):
+    def section(line, i):
+        safe = F.replace(text.escape(line), F.lit('"'), F.lit("&quot;"))
+        number = (i + 1).cast("string")
+        note = F.when(i % 2 == 1, F.concat(F.lit(' data-note="note '), number, F.lit('"'))).otherwise("")
+        return F.concat(
+            F.lit('<section id="s" class="slide" data-script="'), safe, F.lit('"'), note,
+            F.lit("><p>"), safe, F.lit("</p><!-- not shown --></section>\n"),
+        )
+
+    deck = F.concat(F.lit("<html><body>"), F.array_join(F.transform(text.lines(F.col("text")), section), ""), F.lit("</body></html>"))
+    found = html.slides(documents(spark, sf_dir).select("doc_id", deck.alias("html")), "doc_id", "html")
+    return found.select("doc_id", "slide_no", F.sha2("script", 256).alias("script_sha"), "note", F.sha2("body", 256).alias("body_sha"))
+
+
+@query(
+    "image_refs",
+    """WITH p AS (
+  SELECT page_id, regexp_extract_all(html || '<img alt="x" src="a.png"> <img src="p/' || page_id || '.png">', '<img[^>]+src="([^"]+)"', 1) AS refs FROM pages)
+SELECT page_id, unnest(range(0, len(refs))) AS pos, unnest(refs) AS ref FROM p""",
+)
+def image_refs(spark, sf_dir):
+    """The pages with two images put below."""
+    more = F.concat(F.col("html"), F.lit('<img alt="x" src="a.png"> <img src="p/'), F.col("page_id"), F.lit('.png">'))
+    return html.image_refs(texts(spark, sf_dir, "pages", "page_id", "html").withColumn("html", more), "page_id", "html")
+
+
+@query(
+    "judge_assets",
+    """WITH f AS (
+  SELECT 'doc-' || doc_id AS path, CASE doc_id % 6 WHEN 0 THEN unhex('89504E470D0A1A0A') || encode(text) WHEN 1 THEN unhex('FFD8FF') || encode(text)
+    WHEN 2 THEN encode('GIF87a' || text) WHEN 3 THEN encode('RIFFsizeWEBP' || text) WHEN 4 THEN encode(text) ELSE encode('short') END AS content FROM documents),
+s AS (
+  SELECT path, octet_length(content) AS bytes, CASE octet_length(content) > 8000 WHEN false THEN sha256(content) END AS sha,
+    CASE WHEN octet_length(content) > 8000 THEN NULL WHEN path = 'doc-' THEN NULL ELSE kind END AS kind FROM (
+    SELECT *, ['png', 'jpeg', 'gif', 'webp', NULL, NULL][CAST(substr(path, 5) AS BIGINT) % 6 + 1] AS kind FROM f))
+SELECT path, bytes, kind, sha, min(path) OVER (PARTITION BY sha) AS same_as,
+  CASE WHEN bytes > 8000 THEN 'too_large' WHEN bytes < 12 THEN 'too_small' WHEN kind IS NULL THEN 'unknown_kind'
+    WHEN min(path) OVER (PARTITION BY sha) <> path THEN 'reused' ELSE 'accepted' END AS status
+FROM s WHERE sha IS NOT NULL
+UNION ALL SELECT path, bytes, NULL, NULL, NULL, 'too_large' FROM s WHERE sha IS NULL""",
+)
+def judge_assets(spark, sf_dir):
+    """Documents behind the leading bytes of four image kinds, of none, and a file that is too short."""
+    rest, raw = F.col("doc_id") % 6, F.col("text").cast("binary")
+    lead = lambda h: F.concat(F.unhex(F.lit(h)), raw)
+    content = (
+        F.when(rest == 0, lead("89504E470D0A1A0A"))
+        .when(rest == 1, lead("FFD8FF"))
+        .when(rest == 2, F.concat(F.lit("GIF87a").cast("binary"), raw))
+        .when(rest == 3, F.concat(F.lit("RIFFsizeWEBP").cast("binary"), raw))
+        .when(rest == 4, raw)
+        .otherwise(F.lit("short").cast("binary"))
+    )
+    files = documents(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("path"), content.alias("content"))
+    return assets.judge_assets(files.withColumn("length", F.octet_length("content").cast("long")), max_bytes=8000)
+
+
 @query(
     "placeholder_scan",
     r"""WITH d AS (
@@ -224,6 +295,18 @@ def candidate_limits(spark, sf_dir):
     return found.groupBy("doc_id", "kind", "value", "confirmed").agg(F.count(F.lit(1)).alias("found"))
 
 
+@query(
+    "confirmed_limits",
+    r"""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\d{2,})', 1)) AS value FROM documents)
+SELECT doc_id, value, count(*) AS found FROM l WHERE length(value) >= 4 GROUP BY ALL""",
+)
+def confirmed_limits(spark, sf_dir):
+    """A person confirms the numbers of four digits and more."""
+    found = rules.candidate_limits(documents(spark, sf_dir), "doc_id", "text", {"number": r"(\d{2,})"})
+    confirmed = rules.confirmed_limits(found.withColumn("confirmed", F.length("value") >= 4))
+    return confirmed.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("found"))
+
+
 @query(
     "question_tags",
     f"""WITH q AS (
@@ -292,9 +375,9 @@ FROM f""",
 )
 def running_fence(spark, sf_dir):
     """Every fifth line of a document becomes a fence."""
-    exploded = lines.explode_lines(documents(spark, sf_dir), "doc_id", "text")
-    fenced = exploded.withColumn("line", F.when(F.col("line_no") % 5 == 0, "```").otherwise(F.col("line")))
-    return textstyle.running_fence(fenced, "doc_id").select("doc_id", "line_no", "in_fence")
+    fenced = F.array_join(F.transform(text.lines(F.col("text")), lambda l, i: F.when(i % 5 == 4, "```").otherwise(l)), "\n")
+    docs = documents(spark, sf_dir).withColumn("text", fenced)
+    return textstyle.fenced_lines(docs, "doc_id", "text").select("doc_id", "line_no", "in_fence")
 
 
 ENDINGS = ("n", "e", "s", "r", "t")
@@ -370,7 +453,7 @@ limits(axis, cmp, bound, severity) AS (VALUES
   ('symbols', 'max', 0.0, 'violation'), ('ending_ratio', 'min', 58.0, 'violation'),
   ('narrative_ratio', 'min', 25.0, 'warning'), ('digits_per_100', 'max', 4.5, 'warning'),
   ('ending_variety', 'min', 3.0, 'warning'), ('top_ending_share', 'max', 75.0, 'warning'),
-  ('contrast_per_400', 'max', 1.0, 'warning')),
+  ('contrast_per_400', 'max', 1.0, 'warning'), ('cliche_per_1000', 'max', 4.0, 'warning')),
 broken AS (
   SELECT doc_id, axis, value, bound, severity FROM long JOIN limits USING (axis)
   WHERE CASE cmp WHEN 'max' THEN value > bound ELSE value < bound END)"""
@@ -383,7 +466,8 @@ SELECT doc_id, axis, round(value, 6) AS value, CAST(bound AS DOUBLE) AS bound, s
 )
 def apply_profile(spark, sf_dir):
     long = textstyle.axes_long(latin_metrics(documents(spark, sf_dir)), "doc_id")
-    return rules.apply_profile(long, "business_plan").withColumn("value", F.round("value", 6))
+    axes = [*lexicon.STYLE_AXES, ("cliche_per_1000", "at_most", 4.0, "warning")]
+    return rules.apply_profile(long, "business_plan", axes=axes).withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -403,7 +487,8 @@ SELECT doc_id, coverage, violations, warnings, 'measured' AS evidence,
 )
 def style_verdict(spark, sf_dir):
     return style_gate.style_verdict(
-        framed(spark, sf_dir), "doc_id", "text", "business_plan", min_share=0.3, min_hangul=0.0, endings=ENDINGS
+        framed(spark, sf_dir), "doc_id", "text", "business_plan", min_share=0.3, min_hangul=0.0, endings=ENDINGS,
+        cliches="tion", cliche_bound=4.0,
     )
 
 
