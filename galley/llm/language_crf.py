@@ -256,21 +256,22 @@ def _has_letter(words: Words, at: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """At most so many texts per language outside the held-out part, each cut to so many characters."""
+    """At most so many texts per language outside the held-out part, of each so many characters from a seeded place.
+
+    Only texts with a letter take places, and of the rows of one doc_id only one does: the first by
+    language and digest. A text that is not longer than the piece is taken whole.
+    """
+    usable = docs.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-        .select("doc_id", "lang")
-        .withColumn("place", F.row_number().over(pick))
-        .where(F.col("place") <= texts)
-        .select("doc_id")
-        .collect()
-    )
-    ids = [r[0] for r in chosen]
+    chosen = usable.select("doc_id", "lang").withColumn("place", F.dense_rank().over(pick)).where(F.col("place") <= texts)
+    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]  # at most `texts` for each language
+    first = F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
+    piece = F.substring("text", first.cast("int"), F.lit(chars))
     rows = (
-        docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", F.substring("text", 1, chars).alias("text"))
-        .dropDuplicates(["doc_id"])
+        usable.where(F.col("doc_id").isin(ids))
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("lang", F.md5("text").alias("digest"), piece.alias("text"))).alias("row"))
+        .select("doc_id", "row.lang", "row.text")
         .collect()
     )
     rows.sort(key=lambda r: r["doc_id"])

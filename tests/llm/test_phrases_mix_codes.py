@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from galley.llm import phrase_tiles, source_mix, vector_codes
+from galley.llm import language_crf, phrase_tiles, source_mix, vector_codes
 from galley.llm.gnat import Gnat, squared
 
 TABLES = "/root/testdata/sf0.001"
@@ -256,3 +256,21 @@ def test_code_edges(spark):
     assert {g[4] for g in got} == {sha}
     only = spark.createDataFrame([(1, [1.0, 2.0], 1)], VECTORS)
     assert [tuple(r)[:4] for r in vector_codes.compressed(only).collect()] == [(1, None, None, None)]
+
+
+# ---- 8, what the language field learns from
+
+
+def test_language_sample_keeps_its_places(spark):
+    """Nulls, texts without a letter and repeated rows take no places; long texts are not cut to their beginning."""
+    rows = [(i, None if i % 2 else "12 34 !", "de", None) for i in range(300)]
+    rows += [(1000 + i, f"ein kurzer text nummer {i}", "de", None) for i in range(30)]
+    rows += [(1000, "ein kurzer text nummer 0", "de", None)] * 50 + [(1001, "zweite fassung", "de", None)]
+    rows += [(2000 + i, "kopf " * 1000 + "ende " * 4000, "fr", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    texts, langs = language_crf.labelled_sample(docs, texts=15, chars=2000)
+    assert Counter(langs) == {"de": 15, "fr": 15}
+    assert all(len(t) == 2000 for t, lang in zip(texts, langs) if lang == "fr")
+    assert sum("kopf" not in t for t, lang in zip(texts, langs) if lang == "fr") >= 8
+    assert (texts, langs) == language_crf.labelled_sample(docs.repartition(2), texts=15, chars=2000)
+    assert language_crf.labelled_sample(docs.limit(0)) == ([], [])
