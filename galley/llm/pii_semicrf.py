@@ -20,6 +20,7 @@ import math
 import random
 import re
 import sys
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -497,18 +498,40 @@ class Finder:
         return best
 
     def spans(self, text: str | None) -> tuple[list[Span], list[tuple[int, int, int, float]]]:
-        """Fixed spans, and the added ones with their posterior."""
+        """Fixed spans, and the added ones with their posterior, which meet no fixed one and none added before."""
         base = base_spans(text)
         added: list[tuple[int, int, int, float]] = []
         if text:
+            taken = Taken()
+            for _, a, b in sorted(base, key=lambda span: span[1:]):
+                taken.join(a, b)
             for low, high in self.stretches(text):
                 for kind, a, b, p in self.scored(text[low:high]):
-                    a, b = a + low, b + low
-                    if not any(a < y and x < b for _, x, y in base) and not any(a < y and x < b for _, x, y, _ in added):
-                        added.append((kind, a, b, p))
+                    if taken.free(a + low, b + low):
+                        taken.join(a + low, b + low)
+                        added.append((kind, a + low, b + low, p))
         return base, added
 
 
+class Taken:
+    """Places of a text that are taken, as disjoint intervals in order; places are found by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k == len(self.starts) or self.starts[k] >= b
+
+    def join(self, a: int, b: int) -> None:
+        """Takes a place; intervals it meets become one with it."""
+        k = last = bisect_right(self.ends, a)
+        while last < len(self.starts) and self.starts[last] < b:
+            a, b, last = min(a, self.starts[last]), max(b, self.ends[last]), last + 1
+        self.starts[k:last], self.ends[k:last] = [a], [b]
+
+
 def _code(token: str) -> str:
     """A token as one character: words, the address words, digits, usable marks, others without a form, and what ends a candidate."""
     if token.isalpha():
