@@ -24,7 +24,8 @@ PUNCTUATION = ".,!?·—–-…"
 # What may follow the last word of a sentence.
 CLOSING = ".!?…\"'”’)]"
 
-# Marks left where a person still has to fill something in.
+# Marks left where a person still has to fill something in. The look-arounds are the word bounds of
+# the rule: \\b of Java takes other characters for parts of a word.
 SCREEN_PLACEHOLDER = r"__+%?|<[A-Z][A-Z0-9_]{2,}>|(?<!\w)(?:TODO|FIXME)(?!\w)"
 FORM_PLACEHOLDER = r"20\d\s*년\s+월|\(\s*우편\s*:\s+\)|년\s+월\s+일"
 
@@ -132,10 +133,6 @@ def digits_per_100(c: Column) -> Column:
     return F.when(F.length(c) > 0, digits * 100.0 / F.length(c))
 
 
-def per_100(count: Column, chars: Column) -> Column:
-    return F.when(chars > 0, count * 100.0 / chars)
-
-
 def hangul_share(c: Column) -> Column:
     return F.when(F.length(c) > 0, F.regexp_count(c, F.lit(HANGUL)) / F.length(c))
 

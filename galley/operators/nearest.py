@@ -84,7 +84,7 @@ def _tied(units: DataFrame, name: str, pivots: np.ndarray, nearest_only: bool) -
     return units.mapInArrow(run, f"`{name}` {kind}, unit binary, pivot int, dist double")
 
 
-def _best(k: int, q_kind: str, v_kind: str):
+def _best(k: int):
     """Compares the queries of a block with the vectors of a ring; the k best of each query go on, with all ties of the last."""
 
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
@@ -115,7 +115,7 @@ def _compared(asked: DataFrame, rings: DataFrame, k: int) -> DataFrame:
         asked.select("pivot", "ring", "block", "_q", "unit")
         .groupBy("pivot", "ring", "block")
         .cogroup(lent.groupBy("_p", "_r", "_b"))
-        .applyInArrow(_best(k, q_kind, v_kind), f"_q {q_kind}, _v {v_kind}, similarity double")
+        .applyInArrow(_best(k), f"_q {q_kind}, _v {v_kind}, similarity double")
     )
 
 

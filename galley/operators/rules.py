@@ -205,10 +205,10 @@ def length_bounds(
     key: str,
     section: str,
     body: str,
-    bounds: Mapping[str, tuple[int, int | None]],
+    bounds: Mapping[str, tuple[int, int | None]] = lexicon.PAGE_LENGTHS,
     count_spaces: bool = True,
 ) -> DataFrame:
-    """(key, section, chars, status) against the range of the section."""
+    """(key, section, chars, status) against the range of the section, by default that of the page kinds of a plan."""
     require(df, key, section, body)
     chars = F.length(F.col(body) if count_spaces else text.squeeze(F.col(body)))
     status = F.lit("no_rule")

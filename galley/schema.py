@@ -29,17 +29,6 @@ RULES = T.StructType(
     ]
 )
 
-THRESHOLDS = T.StructType(
-    [
-        T.StructField("profile", T.StringType(), False),
-        T.StructField("axis", T.StringType(), False),
-        T.StructField("comparator", T.StringType(), False),
-        T.StructField("bound", T.DoubleType(), False),
-        T.StructField("severity", T.StringType(), False),
-        T.StructField("provisional", T.BooleanType(), False),
-    ]
-)
-
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Fail before planning when an input column is missing."""

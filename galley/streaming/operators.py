@@ -55,9 +55,11 @@ def count_posts(posts: DataFrame, keyword: str, store: str, checkpoint: str, del
     return run.for_each_batch(posts.select(keyword, "ts"), load, checkpoint)
 
 
-def posts_per_day(spark: SparkSession, store: str, keyword: str, kind: str) -> DataFrame:
-    """(keyword, day, posts) of all batches so far; `kind` is the type of the keyword."""
+def posts_per_day(spark: SparkSession, store: str, keyword: str, kind: str, upto: int | None = None) -> DataFrame:
+    """(keyword, day, posts) of all batches so far, or up to one; `kind` is the type of the keyword."""
     stored = spark.read.schema(f"`{keyword}` {kind}, day date, posts long, batch long").parquet(f"{store}/days")
+    if upto is not None:
+        stored = stored.filter(F.col("batch") <= upto)
     return stored.groupBy(keyword, "day").agg(F.sum("posts").alias("posts"))
 
 
@@ -88,6 +90,35 @@ def daily_digest(rows: DataFrame, by: str, delay: str = "1 hour") -> DataFrame:
     )
 
 
+def tell_digest(rows: DataFrame, by: str, store: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """Daily digests as rows arrive, told once per day in `told`, with an account of late rows.
+
+    A day is over when the newest row so far is later than its end by the delay. A
+    row of a day that was told before its batch is late: it is counted in the account and not
+    added, so arrived = told + late + what lies in days that are still open. Counts of a day and batch are all
+    that is kept. A batch that is delivered again replaces its own folders.
+    """
+    require(rows, by, "ts", "notify")
+    wanted = rows.filter(F.coalesce("notify", F.lit("daily")) == "daily").select(by, "ts")
+    kind = wanted.schema[by].dataType.simpleString()
+
+    def load(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        edge = lambda accounts: accounts.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("e")).first()["e"]
+        over = lambda day, at: F.coalesce(F.date_add(day, 1).cast("timestamp") <= F.lit(at).cast("timestamp"), F.lit(False))
+        before = edge(run.read_accounts(spark, store).filter(F.col("batch") < number))
+        late = over(F.to_date("ts"), before)
+        with_account = run.accounted(batch, store, number, late, "ts")
+        daily = with_account.rows.filter(~late).groupBy(by, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("posts"))
+        daily.write.mode("overwrite").parquet(f"{store}/days/batch={number}")
+        with_account.write()
+        after = edge(run.read_accounts(spark, store).filter(F.col("batch") <= number))
+        closed = posts_per_day(spark, store, by, kind, number).filter(over(F.col("day"), after) & ~over(F.col("day"), before))
+        closed.withColumnRenamed("posts", "items").write.mode("overwrite").parquet(f"{store}/told/batch={number}")
+
+    return run.for_each_batch(wanted, load, checkpoint)
+
+
 def idle_items(activity: DataFrame, item: str, silence: str = "3 days", delay: str = "1 hour") -> DataFrame:
     """(item, last_seen): one alert each time an open item falls silent.
 

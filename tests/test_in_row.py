@@ -28,7 +28,7 @@ def test_fences(spark, seed):
 
 @pytest.mark.parametrize("seed", range(2))
 def test_sections(spark, seed):
-    rows = texts(["[a]", "[b c]", "k=v", "k=", "=x", "m = n=o", "; note", "\n", "\n", "\r\n", " ", "[", "plain", "[]"], seed)
+    rows = texts(["[a]", "[b c]", "k=v", "k=", "=x", "m = n=o", "; note", "\n", "\n", "\r\n", " ", "[", "plain", "[]"], seed, 1200)
     docs = spark.createDataFrame(rows, "doc long, body string").repartition(3)
     got = lines.section_settings(docs, "doc", "body")
     wanted = lines.carry_forward_sections(lines.explode_lines(docs, "doc", "body"))

@@ -106,6 +106,29 @@ def test_late_posts_are_counted_and_kept_apart(spark, tmp_path):
     assert sum(r.arrived - r.late for r in accounts) == sum(counted.values())
 
 
+def test_digests_are_told_once_and_late_rows_counted(spark, tmp_path):
+    at = lambda d, h=0: dt.datetime(2026, 8, d, h)
+    batches = [
+        [("a", at(1), None), ("a", at(1, 5), "daily"), ("b", at(1, 6), "none")],
+        [("a", at(1, 23), None), ("b", at(2, 2), "daily")],
+        [("a", at(1, 9), None), ("a", at(2, 3), None)],
+        [("b", at(4), None), ("b", at(2, 22), "daily")],
+        [("a", at(2), None), ("a", at(4, 1), None)],
+    ]
+    schema = "k string, ts timestamp, notify string"
+    path, store, progress = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "cp")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        streaming.tell_digest(stream, "k", store, progress).awaitTermination()
+    told = spark.read.schema("k string, day date, items long, batch long").parquet(f"{store}/told").collect()
+    assert sorted((r.k, r.day.day, r["items"], r.batch) for r in told) == [("a", 1, 3, 1), ("a", 2, 1, 3), ("b", 2, 2, 3)]
+    accounts = run.read_accounts(spark, store).orderBy("batch").collect()
+    assert [(r.arrived, r.late) for r in accounts] == [(2, 0), (2, 0), (2, 1), (2, 0), (2, 1)]
+    still_open = streaming.posts_per_day(spark, store, "k", "string").filter("day >= '2026-08-04'").agg(F.sum("posts").alias("n")).first().n
+    assert sum(r.arrived - r.late for r in accounts) == sum(r["items"] for r in told) + still_open
+
+
 def test_the_first_of_repeated_prompts_is_loaded(spark, tmp_path):
     rows = [("s", "user", "same words", True, dt.datetime(2026, 8, d), f"cwd{d}") for d in (3, 1, 2)]
     path = str(tmp_path / "in")

@@ -86,6 +86,12 @@ def test_main_copy_edges(spark, n, status):
     assert [r.status for r in rows] == [status, "ok"]
 
 
+def test_pages_of_a_plan_have_their_own_ranges(spark):
+    pages = spark.createDataFrame([(1, "요약", "가" * 500), (2, "요약", "가" * 399), (3, "성장전략", "가" * 1201), (4, "부록", "가")], "id int, kind string, body string")
+    got = {r.id: r.status for r in rules.length_bounds(pages, "id", "kind", "body").collect()}
+    assert got == {1: "ok", 2: "short", 3: "long", 4: "no_rule"}
+
+
 def test_body_scope(spark):
     cell = "가" * 50
     body = f"# 제목\n본문입니다.\n```\ncode\n```\n| 짧음 | {cell} |\n| a | b |\n끝."

@@ -85,7 +85,10 @@ SELECT event_type, strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS it
 WHERE CAST(ts AS DATE) + 1 <= (SELECT max(ts) FROM d) - INTERVAL 1 HOUR GROUP BY ALL""",
 )
 def stream_digest(spark, sf_dir):
-    told = finished(spark, streaming.daily_digest(notices(stream(spark, sf_dir, "events")), "event_type"), "append")
+    store = scratch_path(spark, "digest")
+    rows = notices(stream(spark, sf_dir, "events"))
+    streaming.tell_digest(rows, "event_type", store, scratch_path(spark, "progress")).awaitTermination()
+    told = spark.read.schema("event_type string, day date, items long").parquet(f"{store}/told")
     return told.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "items")
 
 
