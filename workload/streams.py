@@ -16,11 +16,8 @@ from workload.registry import query, table
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return (
-        spark.readStream.schema(table(spark, sf_dir, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    """The files of a table, which is one file or a folder of them: a stream takes both where the path is a pattern."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def finished(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
