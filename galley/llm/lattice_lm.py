@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galley.llm.common import crc_mod, prepare, stored
+from galley.llm.common import prepare, scratch_path
 from galley.llm.words import slices
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -38,6 +38,7 @@ STOP = 1 / 3  # that a word ends after a piece
 END_MASS = 0.001  # the constant for the end of a text
 ALPHA = 0.1  # of the base
 END = "\n"  # no word holds it
+SLICE = 1 << 18  # bytes of text that are cut into words at once
 
 Weights = tuple[dict[str, float], list[float], int]
 
@@ -88,25 +89,31 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         trains = np.array(batch.column("trains").to_pylist(), dtype=bool)
-        keys, rows, held = [], [], []
-        for words in slices(batch.column("text")):
+        keys, rows = [], []
+        every = np.zeros(0, np.uint64)
+        for words in slices(batch.column("text"), SLICE):
             distinct, first, back = np.unique(words.key, return_index=True, return_inverse=True)
             pair, count = np.unique(words.row.astype(np.int64) * len(distinct) + back, return_counts=True)
-            keys.append((distinct, [words.text(i) for i in first], pair, count, words.first))
-        every = np.unique(np.concatenate([k[0] for k in keys])) if keys else np.zeros(0, np.uint64)
+            # Only a word that is new to the batch is made a text.
+            place = np.searchsorted(every, distinct)
+            fresh = every[np.minimum(place, len(every) - 1)] != distinct if len(every) else np.ones(len(distinct), bool)
+            every = np.insert(every, place[fresh], distinct[fresh])
+            keys.append((distinct[fresh], [words.text(i) for i in first[fresh]]))
+            width = max(len(distinct), 1)
+            rows.append((pair // width + words.first, distinct, (pair % width).astype(np.int32), count.astype(np.int32)))
         names: list[str] = [""] * len(every)
-        for distinct, text, pair, count, first in keys:
-            number = np.searchsorted(every, distinct)
-            for i, t in zip(number.tolist(), text):
+        for distinct, text in keys:
+            for i, t in zip(np.searchsorted(every, distinct).tolist(), text):
                 names[i] = t
-            rows.append(np.stack([pair // max(len(distinct), 1) + first, number[pair % max(len(distinct), 1)], count]))
-        row, number, count = np.concatenate(rows, 1) if rows else np.zeros((3, 0), np.int64)
         # The end of each text is a word of its own.
-        row, number, count = np.r_[row, np.arange(n)], np.r_[number, np.full(n, len(every))], np.r_[count, np.ones(n, int)]
+        row = np.concatenate([*(r.astype(np.int32) for r, _, _, _ in rows), np.arange(n, dtype=np.int32)])
+        number = np.concatenate([*(np.searchsorted(every, d).astype(np.int32)[at] for _, d, at, _ in rows), np.full(n, len(every), np.int32)])
+        count = np.concatenate([*(c for _, _, _, c in rows), np.ones(n, np.int32)])
+        del keys, rows, every
         names.append(END)
         learned = np.bincount(number, count * trains[row], minlength=len(names)).astype(np.int64)
         # Frequent words get small numbers, which pack better.
-        rank = np.empty(len(names), dtype=np.int64)
+        rank = np.empty(len(names), dtype=np.int32)
         order = np.argsort(-np.bincount(number, minlength=len(names)), kind="stable")
         rank[order] = np.arange(len(names))
         number = rank[number]
@@ -136,6 +143,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=schema,
         )
         k += 1
+        pa.default_memory_pool().release_unused()
 
 
 def _lattices(weights: Weights):
@@ -186,6 +194,13 @@ def _score(n: int, v: int):
     return run
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Like `stored`, in row groups a fraction of the usual size, so that a writing task holds little."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def score_texts(docs: DataFrame, trains: str, held_out: str, weights: Weights) -> DataFrame:
     """Scores of all texts of (doc_id, text), learned from the rows where the expression `trains` holds."""
     spark = docs.sparkSession
@@ -194,7 +209,7 @@ def score_texts(docs: DataFrame, trains: str, held_out: str, weights: Weights) -
     docs = docs.select(
         "doc_id", "text", F.coalesce(F.expr(trains), F.lit(False)).alias("trains"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out")
     )
-    rows = stored(
+    rows = _written(
         docs.mapInArrow(
             _parts, f"part long, place int, doc_id {id_type}, held_out boolean, packed binary, word string, learned long"
         ),
@@ -202,7 +217,7 @@ def score_texts(docs: DataFrame, trains: str, held_out: str, weights: Weights) -
     )
     words = rows.where("place >= 0").select("part", "place", "word", "learned")
     counted = words.groupBy("word").agg(F.sum("learned").alias("count"))
-    valued = stored(counted.mapInArrow(_lattices(weights), "word string, count long, lattice double"), "words")
+    valued = _written(counted.mapInArrow(_lattices(weights), "word string, count long, lattice double"), "words")
     totals = valued.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 0)).first()
     asked = words.drop("learned").join(valued, "word").drop("word")
     out = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
