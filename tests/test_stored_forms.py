@@ -23,3 +23,17 @@ def test_stream_of_a_folder(spark, folders, name):
     assert wanted.count() > 0
     assert got.exceptAll(wanted).count() == 0
     assert wanted.exceptAll(got).count() == 0
+
+
+def test_markup_is_made_after_the_shuffle(spark, tmp_path):
+    """What is gathered per order are the columns of its lines, not their markup."""
+    from workload.drift_forms import form_sections
+
+    line = "1L l_orderkey, 2L l_partkey, 3L l_suppkey, 1 l_linenumber, 4.0D l_quantity, 9.5D l_extendedprice, 0D l_discount, 0D l_tax, 'R' l_returnflag, 'O' l_linestatus"
+    spark.sql(f"SELECT {line} UNION ALL SELECT {line.replace('3L', '2L').replace(chr(39) + 'R', chr(39) + 'N')}").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = form_sections(spark, str(tmp_path))
+    xml = found.first().xml
+    assert xml.count("<hp:tc ") == 6 and xml.index("<hp:t>N</hp:t>") < xml.index("<hp:t>R</hp:t>")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    shuffled = plan[plan.index("Exchange") :]
+    assert "l_orderkey" in shuffled and "hp:tc" not in shuffled

@@ -495,9 +495,8 @@ def form_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A line number that an order has twice repeats its addresses, as a nested table does.
     """
-    line = F.col("l_linenumber").cast("string")
 
-    def cell(col: int, *runs) -> Column:
+    def cell(line: Column, col: int, *runs) -> Column:
         return F.concat(
             F.lit('<hp:tc name=""><hp:subList><hp:p id="0">'), *runs,
             F.lit(f'</hp:p></hp:subList><hp:cellAddr colAddr="{col}" rowAddr="'), line, F.lit('"/></hp:tc>'),
@@ -506,20 +505,24 @@ def form_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(value) -> Column:
         return F.concat(F.lit('<hp:run charPrIDRef="1"><hp:t>'), value, F.lit("</hp:t></hp:run>"))
 
-    last = F.when(F.col("l_discount") == 0, F.lit('<hp:run charPrIDRef="7"/>')).otherwise(run(F.col("l_linestatus")))
-    picture = F.when(F.col("l_tax") == 0, F.lit("<hp:pic id='1'/>")).otherwise(F.lit(""))
-    row = F.concat(
-        cell(0, run(F.col("l_quantity").cast("int").cast("string"))),
-        cell(1, run(F.col("l_returnflag")), run(F.col("l_linestatus"))),
-        cell(2, last),
-        picture,
-    )
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER, row.alias("row"))
-    # the lines of one order, a handful
-    gathered = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, "row"))).alias("_r"))
+    def row(r: Column) -> Column:
+        line = r["l_linenumber"].cast("string")
+        last = F.when(r["l_discount"] == 0, F.lit('<hp:run charPrIDRef="7"/>')).otherwise(run(r["l_linestatus"]))
+        picture = F.when(r["l_tax"] == 0, F.lit("<hp:pic id='1'/>")).otherwise(F.lit(""))
+        return F.concat(
+            cell(line, 0, run(r["l_quantity"].cast("int").cast("string"))),
+            cell(line, 1, run(r["l_returnflag"]), run(r["l_linestatus"])),
+            cell(line, 2, last),
+            picture,
+        )
+
+    used = [*LINE_ORDER, "l_quantity", "l_returnflag", "l_linestatus", "l_discount", "l_tax"]
+    # the lines of one order, a handful; they are gathered as they are stored, the markup is made in the row
+    gathered = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(*used)).alias("_l"))
+    rows = F.array_sort(F.transform("_l", lambda r: F.struct(*[r[c].alias(c) for c in LINE_ORDER], row(r).alias("row"))))
     return gathered.select(
         F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("section"),
-        F.array_join(F.transform("_r", lambda r: r["row"]), "").alias("xml"),
+        F.array_join(F.transform(rows, lambda r: r["row"]), "").alias("xml"),
     )
 
 
