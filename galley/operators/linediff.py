@@ -112,12 +112,15 @@ def ordered_changes(new: DataFrame, base: DataFrame, key: str, body: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            steps = [script(o or [], n or []) for o, n in zip(batch.column("_old").to_pylist(), batch.column("_new").to_pylist())]
-            change = pa.array([[c for c, _ in s] for s in steps], pa.list_(pa.string()))
-            place = pa.array([[n for _, n in s] for s in steps], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), batch.column("_old"), batch.column("_new"), change, place], names=[key, "_old", "_new", "_c", "_p"]
-            )
+            # One document at a time: its lines are freed before those of the next are read.
+            for i in range(batch.num_rows):
+                steps = script(*(batch.column(c)[i].as_py() or [] for c in ("_old", "_new")))
+                change = pa.array([[c for c, _ in steps]], pa.list_(pa.string()))
+                place = pa.array([[n for _, n in steps]], pa.list_(pa.int32()))
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column(key), row.column("_old"), row.column("_new"), change, place], names=[key, "_old", "_new", "_c", "_p"]
+                )
 
     steps = both.mapInArrow(run, f"`{key}` {kind}, _old array<string>, _new array<string>, _c array<string>, _p array<int>")
     line = lambda s: F.when(s["_c"] == "removed", F.get("_old", s["_p"] - 1)).otherwise(F.get("_new", s["_p"] - 1))

@@ -37,3 +37,15 @@ def test_markup_is_made_after_the_shuffle(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     shuffled = plan[plan.index("Exchange") :]
     assert "l_orderkey" in shuffled and "hp:tc" not in shuffled
+
+
+def test_batches_to_python_are_bounded_in_bytes(spark):
+    """A worker holds some megabytes at once, however long the texts of a table are."""
+    from galley.operators import linediff
+    from galley.session import apply_defaults
+
+    docs = apply_defaults(spark).range(0, 200, 1, 1).selectExpr("id", "concat(repeat('word ', 20000), '\n', id) AS text")
+    sizes = lambda batches: (__import__("pyarrow").RecordBatch.from_arrays([[b.nbytes]], names=["n"]) for b in batches)
+    assert docs.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] < 8 << 20
+    changed = docs.selectExpr("id", "concat(text, '\nmore') AS text")
+    assert sorted(r.line for r in linediff.ordered_changes(changed, docs, "id", "text").collect()) == ["more"] * 200
