@@ -3,7 +3,9 @@
 import random
 import time
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from galley.operators import passages
 
@@ -85,3 +87,28 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "w " * 50)], "r long, t string")
     assert passages.corpus_passages(none, some, "l", "r", "t").count() == 0
     assert passages.corpus_passages(some.withColumnRenamed("r", "l"), none.withColumnRenamed("l", "r"), "l", "r", "t").count() == 0
+
+
+def test_each_text_is_read_twice_at_most(spark):
+    """Once for its fingerprints, once for the characters around its hits, whatever the number of hits."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(t):
+        reads.add(1)
+        return t
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(40)]
+    left = spark.createDataFrame(list(enumerate(texts)), "l long, t string").repartition(4)
+    right = spark.createDataFrame([(i, texts[i][50:200]) for i in range(0, 40, 4)], "r long, t string")
+    found = passages.corpus_passages(left.withColumn("t", F.udf(seen, "string")("t")), right, "l", "r", "t").collect()
+    assert {(x.l, x.r) for x in found} == {(i, i) for i in range(0, 40, 4)}
+    assert reads.value <= 2 * len(texts)
+
+
+def test_smallest_gram_of_each_window():
+    rng = random.Random(5)
+    for window in (1, 2, 5, 21, 32):
+        grams = np.array([rng.randrange(6) << 60 for _ in range(500)], np.uint64)
+        plain = [i + int(grams[i : i + window].argmin()) for i in range(len(grams) - window + 1)]
+        assert passages._least(grams, window).tolist() == sorted(set(plain))
